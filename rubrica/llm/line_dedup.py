@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import lower_ascii
+from rubrica.llm.common import cut, lower_ascii
 
 #: What is stripped from both ends of a line, as a trim set: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.trim(line, F.lit(BLANKS)))
+def stripped(line: Column) -> Column:
+    """line without blanks at its ends. A trim from the right walks the whole line, so it is spared
+    where the last character is none of them."""
+    line = F.ltrim(line, F.lit(BLANKS))
+    ends = F.lit(False)
+    for blank in BLANKS:
+        ends = ends | F.endswith(line, F.lit(blank))
+    return F.when(ends, F.rtrim(line, F.lit(BLANKS))).otherwise(line)
 
 
 def _hash(key: Column) -> Column:
@@ -37,20 +43,19 @@ def drop_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     # xxhash64 of id and text names a row: rows that repeat both get equal flags
     rows = rows.withColumn("__row", F.xxhash64("__id", "__text"))
-    keys = F.transform(F.split("__text", "\n"), line_key)
+    keys = F.transform(F.split(lower_ascii(F.col("__text")), "\n"), stripped)
     keys = F.transform(keys, lambda k: F.when(F.length(k) >= least_chars, _hash(k)))
-    hashed = rows.select("__id", "__row", keys.alias("keys")).where(F.exists("keys", lambda k: k.isNotNull()))
-    lines = hashed.select("__id", "__row", F.posexplode("keys").alias("pos", "k")).where("k is not null")
-    rank = F.coalesce(F.col("__id"), F.lit((1 << 63) - 1)).alias("id_rank")
-    owners = hashed.select(rank, F.explode(F.array_distinct("keys")).alias("k")).where("k is not null")
-    # repeats of an id are one document, so pairs of key and id are made distinct before they count
-    owners = owners.groupBy("k.a", "k.b", "id_rank").agg(F.lit(1).alias("one")) if threshold > 2 else owners.select("k.a", "k.b", "id_rank")
-    if threshold > 2:
+    # hashed once, for both uses below
+    hashed = rows.select(F.coalesce("__id", F.lit((1 << 63) - 1)).alias("id_rank"), "__row", keys.alias("keys"))
+    hashed = cut(hashed.where(F.exists("keys", lambda k: k.isNotNull())).select("id_rank", "__row", F.col("keys.a").alias("a"), F.col("keys.b").alias("b")))
+    lines = hashed.select("id_rank", "__row", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "k")).where("k.a is not null").select("id_rank", "__row", "pos", "k.a", "k.b")
+    if threshold > 2:  # repeats of an id are one document, so pairs of key and id are made distinct before they count
+        owners = lines.groupBy("a", "b", "id_rank").agg(F.lit(1).alias("one"))
         owners = owners.groupBy("a", "b").agg(F.count("one").alias("n"), F.min("id_rank").alias("owner")).where(F.col("n") >= threshold)
     else:  # two documents hold a key exactly if its least and greatest ids differ
-        owners = owners.groupBy("a", "b").agg(F.min("id_rank").alias("owner"), F.max("id_rank").alias("other")).where("owner < other")
+        owners = lines.groupBy("a", "b").agg(F.min("id_rank").alias("owner"), F.max("id_rank").alias("other")).where("owner < other")
     owners = owners.select("a", "b", "owner")
-    drops = lines.select("__row", "pos", rank, "k.a", "k.b").join(owners, ["a", "b"]).where("id_rank <> owner")
+    drops = lines.join(owners, ["a", "b"]).where("id_rank <> owner")
     drops = drops.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     joined = rows.join(drops.hint("shuffle_hash"), "__row", "left")
     split = F.split("__text", "\n")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import line_dedup, simhash
-from rubrica.llm.common import read_documents
+from rubrica.llm import exact_dedup, language, line_dedup, packing, quality, secrets, simhash
+from rubrica.llm.common import cut, held_out, read_documents
+
+#: The vocabularies are found through their package; another path can be given to the operators.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,17 +20,61 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pieces(read_documents(spark, sf_dir), TOKENIZER, end_id=2)
+    digests = cut(made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return packing.pack(digests)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.with_score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _joined_spans(spans: Column) -> Column:
+    kinds = F.array(*map(F.lit, secrets.KINDS))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x.rank), x.start.cast("string"), x.stop.cast("string"))), ",")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan_paths(read_documents(spark, sf_dir))
+    counts = [F.size(F.filter("spans", lambda x, k=k: x.rank == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.BASE)]
+    base = F.filter("spans", lambda x: x.rank < len(secrets.BASE))
+    return found.select("doc_id", *counts, F.sha2(_joined_spans(base), 256).alias("base_sha256"), _joined_spans(F.col("spans")).alias("spans"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(read_documents(spark, sf_dir), threshold=2, least_chars=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read_documents(spark, sf_dir))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
+    "op7_exact": op7_exact,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_exact": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n FROM documents),
+        g AS (SELECT n, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM t JOIN g USING (n)""",
     "op5_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

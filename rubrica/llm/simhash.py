@@ -63,21 +63,22 @@ def sketches(docs: DataFrame, *, width: int = 3, seed: int = 42, words: int = 1,
     a zero fingerprint and the anchor 0.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps, mins = [], []
-            for text in batch["__text"]:
-                h = shingle_hashes(text, width, seed)
-                if not len(h):
-                    fps.append([0] * words)
-                    mins.append([0] * anchors)
-                    continue
-                fps.append([_majority(h if not k else _mixed(h, k)) for k in range(words)])
-                mins.append([int(_mixed(h, 100 + k).min().view(np.int64)) for k in range(anchors)])
-            yield pd.DataFrame({"__id": batch["__id"], "fp": fps, "anchors": mins})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInPandas(run, f"__id {kind}, fp array<bigint>, anchors array<bigint>")
+    @F.pandas_udf("fp array<bigint>, anchors array<bigint>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        fps, mins = [], []
+        for text in texts:
+            h = shingle_hashes(text, width, seed)
+            if not len(h):
+                fps.append([0] * words)
+                mins.append([0] * anchors)
+                continue
+            fps.append([_majority(h if not k else _mixed(h, k)) for k in range(words)])
+            mins.append([int(_mixed(h, 100 + k).min().view(np.int64)) for k in range(anchors)])
+        return pd.DataFrame({"fp": fps, "anchors": mins})
+
+    # ids stay in the JVM, so that a null among them doesn't turn the others into floats
+    found = docs.select(F.col(id_col).alias("__id"), made(F.col(text_col)).alias("s"))
+    return found.select("__id", "s.fp", "s.anchors")
 
 
 def pigeonhole_keys(fp: Column, radius: int) -> Column:
