@@ -29,26 +29,41 @@ _PLAIN = re.compile("[^\t\n\x0b\x0c\r -~¡-įı-ňŊ-ž]")
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
+#: What the vocabulary's own rules make of a lower-cased word of such characters.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ž]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿĀ-ž0-9²³¹¼½¾]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a visible character: itself, or one from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordStore(dict):
     """Ids of words as bytes (little-endian, 32 bits each), made on demand.
 
-    The vocabulary's rules never look across white space, so a text's ids are those of its words.
+    The vocabulary's rules never look across white space, so a text's ids are those of its words,
+    and a word's ids are those of its parts.
     """
 
     def __init__(self, tokenizer, most: int = MOST_WORDS):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.model, self.most, self.parts, self.letters = tokenizer.model, most, {}, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        made = self[word] = b"".join([self.parts.get(p) or self.part(p) for p in _PARTS.findall(word)])
+        return made
+
+    def part(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        made = self.parts[part] = _bytes([t.id for t in self.model.tokenize(shown)])
+        return made
 
-    def add(self, texts: list[str]) -> None:
-        new = {w for t in texts for w in t.split()} - self.keys()
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = {w for t in texts for w in t.split()}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = _bytes(e.ids)
+    def trim(self) -> None:
+        for store in (self, self.parts):
+            if len(store) > self.most:
+                store.clear()
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -62,13 +77,10 @@ def encode_texts(tokenizer, store: WordStore, texts: list[str | None]) -> list[b
     """Ids of each whole text as bytes; the same as the tokenizer's own without special tokens."""
     texts = [t or "" for t in texts]
     plain = [_PLAIN.search(t) is None and not any(s in t for s in _SPECIAL) for t in texts]
-    lowered = [t.lower() if p else None for t, p in zip(texts, plain, strict=True)]
     out: list[bytes] = []
-    for at in range(0, len(texts), 64):  # a bounded number of new words at a time
-        store.add([t for t in lowered[at : at + 64] if t is not None])
-        get = store.__getitem__
-        for t, low in zip(texts[at : at + 64], lowered[at : at + 64], strict=True):
-            out.append(b"".join(map(get, low.split())) if low is not None else _bytes(tokenizer.encode(t, add_special_tokens=False).ids))
+    for t, p in zip(texts, plain, strict=True):
+        out.append(b"".join(map(store.__getitem__, t.lower().split())) if p else _bytes(tokenizer.encode(t, add_special_tokens=False).ids))
+        store.trim()
     return out
 
 
@@ -141,7 +153,7 @@ def pack(made: DataFrame, *, length: int = LENGTH, group: int = GROUP, seed: int
     dealt = made.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("start")), F.lit(groups))).withColumn(id_col, F.col(id_col).cast("string"))
     schema = T.StructType([f for f in dealt.schema.fields if f.name != "__group"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop(columns="__group").sort_values([id_col, "start"], kind="stable")
         placed = first_fit_decreasing([int(x) for x in frame["length"]], length)
         return frame.assign(sequence_id=[(int(key[0]) << 32) + b for b, _ in placed], offset=[o for _, o in placed])
