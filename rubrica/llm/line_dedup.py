@@ -26,21 +26,9 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_dropped, kept_text) for every row of docs.
-
-    A text splits at \\n; null and empty texts are one empty line. A line's key is the line without
-    blanks at its ends, A-Z lower-cased. Keys of `least_chars` or more code points in `threshold` or
-    more documents lose all their lines but those of the smallest id; the other lines stay in order.
-    Rows that share an id count as one document for the keys and keep a row each. A null id is
-    greater than any other and is one document. Only the two named columns are read, so others of
-    any name do no harm. An empty table gives an empty result.
-
-    Lines travel as hashes; the whole texts are dealt out once, beside one flag per line. A line
-    that very many documents hold is summed before the shuffle and then is a skewed join, which
-    adaptive execution splits.
-    """
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+def _flagged(docs: DataFrame, threshold: int, least_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with __text, __gone (sorted numbers of the lines to drop, null if none) and __stay."""
+    rows = docs.withColumns({"__id": F.col(id_col), "__text": F.coalesce(F.col(text_col), F.lit(""))})
     # xxhash64 of id and text names a row: rows that repeat both get equal flags
     rows = rows.withColumn("__row", F.xxhash64("__id", "__text"))
     keys = F.transform(F.split(lower_ascii(F.col("__text")), "\n"), stripped)
@@ -56,15 +44,43 @@ def drop_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int
         owners = lines.groupBy("a", "b").agg(F.min("id_rank").alias("owner"), F.max("id_rank").alias("other")).where("owner < other")
     owners = owners.select("a", "b", "owner")
     drops = lines.join(owners, ["a", "b"]).where("id_rank <> owner")
-    drops = drops.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    drops = drops.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     joined = rows.join(drops.hint("shuffle_hash"), "__row", "left")
     split = F.split("__text", "\n")
     # the flags of the lines, by one walk over the sorted positions: gaps become runs of true
     flags = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size("gone")),
+        F.sequence(F.lit(0), F.size("__gone")),
         lambda i: F.concat(
-            F.array_repeat(F.lit(True), F.coalesce(F.get("gone", i), F.size(split)) - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1),
-            F.when(i < F.size("gone"), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    judged = joined.select("__id", "__text", F.size(split).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_gone"), "gone", flags.alias("stay"))
-    kept = F.array_join(F.filter(F.split("__text", "\n"), lambda x, i: F.get("stay", i)), "\n")
-    return judged.select(F.col("__id").alias(id_col), "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_gone")).alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("__text")).otherwise(kept).alias("kept_text"))
+            F.array_repeat(F.lit(True), F.coalesce(F.get("__gone", i), F.size(split)) - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1),
+            F.when(i < F.size("__gone"), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
+    return joined.withColumn("__stay", flags)
+
+
+def _kept() -> Column:
+    kept = F.array_join(F.filter(F.split("__text", "\n"), lambda x, i: F.get("__stay", i)), "\n")
+    return F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept)
+
+
+def drop_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_lines, n_dropped, kept_text) for every row of docs.
+
+    A text splits at \\n; null and empty texts are one empty line. A line's key is the line without
+    blanks at its ends, A-Z lower-cased. Keys of `least_chars` or more code points in `threshold` or
+    more documents lose all their lines but those of the smallest id; the other lines stay in order.
+    Rows that share an id count as one document for the keys and keep a row each. A null id is
+    greater than any other and is one document. Only the two named columns are read, so others of
+    any name do no harm. An empty table gives an empty result.
+
+    Lines travel as hashes; the whole texts are dealt out once, beside the numbers of the lines that
+    go. A line that very many documents hold is summed before the shuffle and then is a skewed join,
+    which adaptive execution splits.
+    """
+    judged = _flagged(docs.select(id_col, text_col), threshold, least_chars, id_col, text_col)
+    gone = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
+    return judged.select(F.col("__id").alias(id_col), F.size(F.split("__text", "\n")).cast("bigint").alias("n_lines"), gone.alias("n_dropped"), _kept().alias("kept_text"))
+
+
+def without_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the lines dropped that `drop_repeated_lines` drops; all rows and columns stay, null texts null."""
+    judged = _flagged(docs, threshold, least_chars, id_col, text_col)
+    return judged.withColumn(text_col, F.when(F.col(text_col).isNotNull(), _kept())).select(docs.columns)

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 LENGTH = 4096
-#: Pieces in a group, about.
-GROUP = 4096
+#: Documents whose pieces make up a group, about.
+GROUP = 2048
 #: Words whose ids one worker keeps; the store starts anew beyond that.
 MOST_WORDS = 600_000
 
@@ -139,21 +139,25 @@ def first_fit_decreasing(sizes: list[int], length: int) -> list[tuple[int, int]]
     return out
 
 
-def pack(made: DataFrame, *, length: int = LENGTH, group: int = GROUP, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+def groups_for(docs: DataFrame, group: int = GROUP) -> int:
+    """How many groups to deal the pieces of docs into."""
+    return max(1, round(docs.count() / group))
+
+
+def pack(made: DataFrame, groups: int, *, length: int = LENGTH, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """Pieces with sequence_id and offset; all rows and columns of `made` stay.
 
     made has the columns id, start, length and whatever else is to travel. Pieces go to random
-    groups of about `group` pieces by a hash of id and start, and a group's pieces are taken by
-    falling length, then id and start. A sequence's pieces follow each other without gaps;
-    sequence_id is unique over all groups, and rows of equal id and start are packed each.
+    groups by a hash of id and start, and a group's pieces are taken by falling length, then id and
+    start. A sequence's pieces follow each other without gaps; sequence_id is unique over all
+    groups, and rows of equal id and start are packed each.
     """
-    groups = max(1, round(made.count() / group))
     # ids travel as text through pandas, where a null would turn the others into floats
     kind = made.schema[id_col].dataType
     dealt = made.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("start")), F.lit(groups))).withColumn(id_col, F.col(id_col).cast("string"))
     schema = T.StructType([f for f in dealt.schema.fields if f.name != "__group"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, frame):
         frame = frame.drop(columns="__group").sort_values([id_col, "start"], kind="stable")
         placed = first_fit_decreasing([int(x) for x in frame["length"]], length)
         return frame.assign(sequence_id=[(int(key[0]) << 32) + b for b, _ in placed], offset=[o for _, o in placed])

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import exact_dedup, language, line_dedup, packing, quality, secrets, simhash
-from rubrica.llm.common import cut, held_out, read_documents
+from rubrica.llm import exact_dedup, language, line_dedup, merkle, packing, quality, secrets, simhash
+from rubrica.llm.common import held_out, read_documents
 
 #: The vocabularies are found through their package; another path can be given to the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,9 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = packing.pieces(read_documents(spark, sf_dir), TOKENIZER, end_id=2)
-    digests = cut(made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
-    return packing.pack(digests)
+    docs = read_documents(spark, sf_dir)
+    made = packing.pieces(docs, TOKENIZER, end_id=2)
+    digests = made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(digests, packing.groups_for(docs))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,14 @@ def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.compare_edits(read_documents(spark, sf_dir))
+    return made.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        merkle.as_text(F.col("tree")).alias("fingerprint"), merkle.as_text(F.col("edited_tree")).alias("edited_fingerprint"),
+        merkle.likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"), merkle.likeness(F.col("tree"), F.col("next_tree")).alias("near_next"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     found = language.predict(docs, language.train(docs))
@@ -67,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
     "op7_exact": op7_exact,
+    "op8_fingerprints": op8_fingerprints,
     "op10_language": op10_language,
 }
 
