@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import exact_dedup, language, line_dedup, merkle, packing, quality, secrets, simhash
+from rubrica.llm import exact_dedup, language, licenses, line_dedup, merkle, packing, pieces, quality, secrets, simhash
 from rubrica.llm.common import held_out, read_documents
 
 #: The vocabularies are found through their package; another path can be given to the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    made = pieces.encode(docs.select("doc_id", "text"), PIECES, seed=42, dropout=0.1)
+    back = pieces.decode(made, PIECES)
+    return back.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        (F.octet_length("plain_ids") / 4).cast("bigint").alias("n_plain"), F.crc32("plain_ids").alias("plain_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir))
 
@@ -63,6 +73,15 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"), merkle.likeness(F.col("tree"), F.col("next_tree")).alias("near_next"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    found = licenses.scan(docs, licenses.train(docs))
+    sure = F.filter("findings", lambda x: x.confirmed)
+    return found.select(
+        "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x.family))), ",").alias("licenses"), F.size(sure).cast("bigint").alias("n_confirmed"), F.size("findings").cast("bigint").alias("n_predicted"),
+        F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x.paragraph.cast("string"), x.family, F.round(x.probability, 4).cast("string"))), ",").alias("paragraphs"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     found = language.predict(docs, language.train(docs))
@@ -75,8 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
+    "op6_pieces": op6_pieces,
     "op7_exact": op7_exact,
     "op8_fingerprints": op8_fingerprints,
+    "op9_licenses": op9_licenses,
     "op10_language": op10_language,
 }
 
