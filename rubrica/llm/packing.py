@@ -22,7 +22,7 @@ LENGTH = 4096
 #: Documents whose pieces make up a group, about.
 GROUP = 2048
 #: Words whose ids one worker keeps; the store starts anew beyond that.
-MOST_WORDS = 600_000
+MOST_WORDS = 150_000
 
 #: Texts of these characters alone are the same in NFC, and white space always ends a word in them.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r -~¡-įı-ňŊ-ž]")

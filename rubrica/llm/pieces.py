@@ -35,7 +35,7 @@ class Codec:
     document's key and the place of the occurrence.
     """
 
-    def __init__(self, path: str, *, seed: int = 42, dropout: float = 0.1, variants: int = 4, most: int = 500_000):
+    def __init__(self, path: str, *, seed: int = 42, dropout: float = 0.1, variants: int = 4, most: int = 300_000):
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [(i, p.id_to_piece(i)) for i in range(p.get_piece_size())]
         plain = [(i, s) for i, s in names if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
