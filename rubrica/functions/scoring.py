@@ -62,7 +62,7 @@ def wilson(hits: Column | str, total: Column | str, z: float = 1.96) -> tuple[Co
     base = 1 + z * z / n
     mid = (p + z * z / (2 * n)) / base
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / base
-    return F.coalesce(F.greatest(F.lit(0.0), mid - half), nan), F.coalesce(F.least(F.lit(1.0), mid + half), nan)
+    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).otherwise(nan), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(nan)
 
 
 def token_cost(tokens_in: Column | str, tokens_out: Column | str, price_in: float = 3.0, price_out: float = 6.0) -> Column:

@@ -5,10 +5,10 @@ Regular expressions name their characters where Java, RE2 and Python differ abou
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
-import pyarrow.compute as pc
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +24,15 @@ def _col(x: Column | str) -> Column:
 
 
 def nfkc(x: Column | str) -> Column:
-    """Unicode NFKC. Spark has no such function, so this crosses into Arrow; ASCII stays out of it."""
+    """Unicode NFKC. Spark has no such function, so this crosses into Python; ASCII texts stay out of it."""
+    x = _col(x)
 
-    @F.arrow_udf(T.StringType())
-    def normal(a: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(a, form="NFKC")
+    @F.pandas_udf(T.StringType())
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return normal(_col(x))
+    ascii_only = F.length(x) == F.octet_length(x)
+    return F.coalesce(normal(F.when(~ascii_only, x)), x)
 
 
 def strip_markers(x: Column | str, *, tag_field: bool = False) -> Column:

@@ -284,10 +284,10 @@ def match_rules(spark, d):
     return matching.rule_hits(named(spark, d), "c_custkey", ["name", "other_name"], rules(spark))
 
 
-@query(f"""SELECT m.c_custkey, CAST(m.code AS BIGINT) AS code, coalesce(s_name, '') AS matched_name, CASE WHEN m.code IS NULL THEN 'unmatched' ELSE 'matched' END AS match_status, match_method,
+@query(f"""SELECT m.c_custkey, coalesce(CAST(m.code AS VARCHAR), '') AS code, coalesce(s_name, '') AS matched_name, CASE WHEN m.code IS NULL THEN 'unmatched' ELSE 'matched' END AS match_status, match_method,
     CASE WHEN m.code IS NULL THEN 'low' ELSE 'high' END AS match_confidence FROM {MATCH_SQL} m LEFT JOIN supplier ON s_suppkey = m.code""")
 def match_tiers(spark, d):
-    return matched(spark, d).drop("unmatched_reason")
+    return matched(spark, d).drop("unmatched_reason").withColumn("code", F.coalesce(F.col("code").cast("string"), F.lit("")))
 
 
 @query(f"SELECT match_method, count(*) AS n, count(DISTINCT code) AS codes FROM {MATCH_SQL} GROUP BY match_method")
