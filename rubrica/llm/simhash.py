@@ -170,20 +170,49 @@ def _lanes(mask: np.ndarray) -> np.ndarray:
     return np.unpackbits(mask.view(np.uint8), bitorder="little").astype(bool)
 
 
-def block_links(fps: np.ndarray, side: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+class _Overlap:
+    """Jaccard similarities of one row's shingle set with all rows of a block, by its postings."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        _, self.names = np.unique(flat, return_inverse=True)
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        order = np.argsort(self.names, kind="stable")
+        self.rows = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.names))])
+
+    def __call__(self, q: int) -> np.ndarray:
+        own = self.names[self.ends[q] : self.ends[q + 1]]
+        parts = [self.rows[self.at[s] : self.at[s + 1]] for s in own]
+        shared = np.bincount(np.concatenate(parts), minlength=len(self.sizes)) if parts else np.zeros(len(self.sizes))
+        return shared / np.maximum(1, self.sizes[q] + self.sizes - shared)
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
+
+
+def block_links(fps: np.ndarray, side: np.ndarray | None, radius: int, sets: list[np.ndarray] | None = None, least: float = 0.0) -> list[tuple[int, int]]:
     """Links that span every group of rows within the radius of each other in one block.
 
     Lanes that already hang together with the asking row are not counted again. side: for a pair of
-    pieces, rows of side 0 ask and those of side 1 answer (rows of one side meet elsewhere).
+    pieces, rows of side 0 ask and those of side 1 answer (rows of one side meet elsewhere). sets:
+    shingle sets, of which a link needs a Jaccard similarity of `least`. Rows near the block's
+    majority ask first: copies of one text gather round it, and then need no further comparison.
     """
     n, found = len(fps), []
     own, label = planes(fps), np.arange(len(fps))
     bits = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(bool)
+    order = np.argsort((bits != (bits.mean(0) > 0.5)).sum(1), kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
     full, none = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
-    index = np.arange(n)
     asked = np.zeros(own.shape[1] * 64, bool)
-    for q in range(n - 1) if side is None else np.flatnonzero(side == 0):
-        asked[:n] = (label != label[q]) & (index > q if side is None else side == 1)
+    overlap = None
+    for q in order if side is None else order[side[order] == 0]:
+        asked[:n] = (label != label[q]) & (place > place[q] if side is None else side == 1)
         words = np.flatnonzero(asked.reshape(-1, 64).any(1))
         if not len(words):
             continue
@@ -191,6 +220,9 @@ def block_links(fps: np.ndarray, side: np.ndarray | None, radius: int) -> list[t
         near = within(lambda a, b, w, flip=flip, words=words: own[a:b, words[w]] ^ flip[a:b], own.shape[0], len(words), radius)
         lanes = (words[:, None] * 64 + np.arange(64)).ravel()[_lanes(near)]
         lanes = lanes[asked[lanes]]
+        if len(lanes) and sets is not None:
+            overlap = overlap or _Overlap(sets)
+            lanes = lanes[overlap(q)[lanes] >= least]
         if len(lanes):
             groups, first = np.unique(label[lanes], return_index=True)
             found += [(int(q), int(lanes[i])) for i in first]
@@ -217,7 +249,7 @@ class _Forest:
         return a != b
 
 
-def small_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def small_links(fps: np.ndarray, starts: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, least: float = 0.0) -> list[tuple[int, int]]:
     """The same for many small blocks at once: rows starts[i] to starts[i + 1] make up a block."""
     found, forest = [], _Forest(len(fps))
     sizes = np.diff(starts)
@@ -232,15 +264,17 @@ def small_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> list[tuple[
             near = within(lambda a, b, w, p=p: p[a:b, w], p.shape[0], p.shape[1], radius)
             hits = np.flatnonzero(_lanes(near))
             for i in hits[hits < len(left)]:
-                if forest.link(int(left[i]), int(right[i])):
-                    found.append((int(left[i]), int(right[i])))
+                x, y = int(left[i]), int(right[i])
+                if forest.root(x) != forest.root(y) and (sets is None or jaccard(sets[x], sets[y]) >= least):
+                    forest.link(x, y)
+                    found.append((x, y))
     return found
 
 
-def _compare(radius: int):
+def _compare(radius: int, least: float):
     """Links in the blocks of a partition that is sorted by (t, key, piece)."""
 
-    def solve(ids, fps, side, starts) -> pd.DataFrame:
+    def solve(ids, fps, side, starts, sets) -> pd.DataFrame:
         links = []
         small = np.diff(starts) <= 64
         mixed = np.array([side[a:b].max() >= 0 for a, b in zip(starts, starts[1:], strict=False)], bool)
@@ -248,11 +282,11 @@ def _compare(radius: int):
         if easy.any():
             rows = np.concatenate([np.arange(a, b) for a, b in zip(starts[:-1][easy], starts[1:][easy], strict=True)])
             at = np.concatenate([[0], np.cumsum(np.diff(starts)[easy])])
-            links += [(rows[x], rows[y]) for x, y in small_links(fps[rows], at, radius)]
+            links += [(rows[x], rows[y]) for x, y in small_links(fps[rows], at, radius, sets and [sets[r] for r in rows], least)]
         for i in np.flatnonzero(~easy):
             a, b = starts[i], starts[i + 1]
             s = side[a:b]
-            links += [(a + x, a + y) for x, y in block_links(fps[a:b], s if s.max() >= 0 else None, radius)]
+            links += [(a + x, a + y) for x, y in block_links(fps[a:b], s if s.max() >= 0 else None, radius, sets and sets[a:b], least)]
         return pd.DataFrame({"a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]}, dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,19 +313,22 @@ def _compare(radius: int):
         fps = np.array(x["fp"].tolist(), np.int64).view(np.uint64)
         t, key, pair = (x[c].to_numpy() for c in ("t", "key", "pair"))
         new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-        return solve(x["node"].to_numpy(), fps, x["side"].to_numpy(), np.concatenate([[0], new, [len(x)]]))
+        sets = list(x["shingles"]) if "shingles" in x else None
+        return solve(x["node"].to_numpy(), fps, x["side"].to_numpy(), np.concatenate([[0], new, [len(x)]]), sets)
 
     return run
 
 
-def links_in_blocks(nodes: DataFrame, radius: int) -> DataFrame:
+def links_in_blocks(nodes: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
     """nodes(node long, fp, keys array<struct<t, key>>) -> (a, b): links that join all nodes which
     meet in a block within the radius, directly or through others of that block.
 
-    A block of over PIECE rows is dealt out whole: its rows fall into pieces by hash, and every two
+    With a column shingles (distinct longs) a link also needs a Jaccard similarity of `least`. A
+    block of over PIECE rows is dealt out whole: its rows fall into pieces by hash, and every two
     pieces (and each with itself) meet in a task of their own.
     """
-    rows = nodes.select("node", "fp", F.explode("keys").alias("k")).select("node", "fp", "k.t", "k.key")
+    payload = [c for c in nodes.columns if c != "keys"]
+    rows = nodes.select(*payload, F.explode("keys").alias("k")).select(*payload, "k.t", "k.key")
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = rows.join(sizes, ["t", "key"])
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
@@ -300,12 +337,24 @@ def links_in_blocks(nodes: DataFrame, radius: int) -> DataFrame:
         (F.least("mine", j) * F.col("pieces") + F.greatest("mine", j)).alias("pair"),
         F.when(F.col("mine") == j, -1).when(F.col("mine") < j, 0).otherwise(1).alias("side")))
     rows = rows.withColumn("pieces", pieces).withColumn("mine", mine).withColumn("met", F.explode(met))
-    rows = rows.select("t", "key", F.col("met.pair").alias("pair"), F.col("met.side").alias("side"), "node", "fp")
+    rows = rows.select("t", "key", F.col("met.pair").alias("pair"), F.col("met.side").alias("side"), *payload)
     rows = rows.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
-    return rows.mapInPandas(_compare(radius), "a bigint, b bigint").distinct()
+    return rows.mapInPandas(_compare(radius, least), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words: int = 1, anchors: int = 0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_shingles(docs: DataFrame, linked: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """linked(node, fp, anchors, keys) with the distinct shingles of the text behind each."""
+
+    @F.pandas_udf("array<bigint>")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width, seed)).view(np.int64) for t in texts], dtype=object)
+
+    wanted = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("__text")).join(linked.select("node"), "node", "left_semi")
+    sets = wanted.select("node", made("__text").alias("shingles")).dropDuplicates(["node"])
+    return linked.join(sets, "node")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words: int = 1, anchors: int = 0, seed: int = 42, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp array<bigint>, component_id) for every row of docs, dropped by nobody.
 
     Fingerprints of 64 * words bits link at `radius` or fewer differing bits; component_id is the
@@ -313,10 +362,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words:
     link is lost (words must be 1). With anchors > 0 a link is found if the two shingle sets share
     one of so many minima, with probability 1 - (1 - J) ** anchors at Jaccard similarity J.
 
+    least: links also need this exact Jaccard similarity of the shingle sets. Then the search runs
+    twice: first by fingerprints alone, which leaves few rows, and again over those with their sets.
+
     Null and empty texts have the fingerprint 0 and link like any others. Rows that repeat an id
-    each have a row; a null id keeps its row and never names a component unless all of its group
-    are null (then component_id is null). Columns of docs other than the two named are not read.
-    An empty table gives an empty result.
+    each have a row (with `least`, one of their texts speaks for all); a null id keeps its row and
+    never names a component unless all of its group are null (then component_id is null). Columns of
+    docs other than the two named are not read. An empty table gives an empty result.
     """
     made = cut(sketches(docs, width=width, seed=seed, words=words, anchors=anchors, id_col=id_col, text_col=text_col))
     nodes = made.groupBy("fp", "anchors").agg(F.min("__id").alias("node"))
@@ -327,7 +379,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words:
         keys = pigeonhole_keys(F.col("fp")[0], radius)
     else:
         raise ValueError("without anchors a fingerprint has 64 bits")
-    links = links_in_blocks(real.select("node", "fp", keys.alias("keys")), radius)
+    blocked = real.select("node", "fp", keys.alias("keys"))
+    links = links_in_blocks(blocked, radius)
+    if least is not None:
+        links = cut(links)
+        linked = blocked.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        links = links_in_blocks(_with_shingles(docs, linked, width, seed, id_col, text_col), radius, least)
     roots = connected(links)
     named = nodes.join(roots, "node", "left").select("fp", "anchors", F.coalesce("root", "node").alias("component_id"))
     return made.join(named, ["fp", "anchors"], "left").select(F.col("__id").alias(id_col), "fp", "component_id")

@@ -132,10 +132,31 @@ def test_wide_fingerprints_find_texts_of_four_fifths(spark):
         for at in (30, 90, 150):
             edited[at] = word()
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited))]
-    found = simhash.near_duplicates(table(spark, rows), width=5, words=4, radius=51, anchors=8).collect()
-    group = {r.doc_id: r.component_id for r in found}
-    pairs = sum(group[2 * i + 1] == 2 * i for i in range(60))
-    assert pairs >= 59 and all(group[2 * i] == 2 * i for i in range(60))
+        for at in range(20, 200, 20):
+            edited[at] = word()
+        rows.append((1000 + i, " ".join(edited)))  # less than four fifths
+    groups = simhash.near_duplicates(table(spark, rows), width=5, words=4, radius=60, anchors=8, least=0.8)
+    group = {r.doc_id: r.component_id for r in groups.collect()}
+    assert sum(group[2 * i + 1] == 2 * i for i in range(60)) >= 59 and all(group[2 * i] == 2 * i and group[1000 + i] == 1000 + i for i in range(60))
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), width=5, words=4, radius=60, anchors=8).collect()}
+    assert any(near[1000 + i] != 1000 + i for i in range(60))  # by fingerprints alone
+
+
+def test_verified_blocks_equal_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 40, 300)
+    sets = [np.unique(base)] + [np.unique(np.where(rng.random(300) < rng.choice([0.05, 0.12, 0.3]), rng.integers(0, 1 << 40, 300), base)) for _ in range(150)]
+    fps = np.zeros((151, 4), np.uint64)
+    alike = {(a, b) for a in range(151) for b in range(a) if simhash.jaccard(sets[a], sets[b]) >= 0.8}
+    want = simhash._Forest(151)
+    for a, b in alike:
+        want.link(a, b)
+    for links in (simhash.block_links(fps, None, 60, sets, 0.8), simhash.small_links(fps, np.array([0, 151]), 60, sets, 0.8)):
+        got = simhash._Forest(151)
+        assert all((max(x), min(x)) in alike for x in links)
+        for a, b in links:
+            got.link(a, b)
+        assert [got.root(i) for i in range(151)] == [want.root(i) for i in range(151)]
 
 
 # ---- packing
@@ -396,7 +417,7 @@ def test_pipeline(spark, tmp_path):
             sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in before.items() if (w := t.lower().split())}
             alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
             for i in set(before) - set(after):
-                assert any(len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) for j in before if j != i and j in sets), i
+                assert any(alike(sets[i], sets[j]) for j in before if j != i and j in sets), i
             left = [i for i in after if i in sets]
             missed = sum(alike(sets[a], sets[b]) for n_, a in enumerate(left) for b in left[:n_] if abs(len(sets[a]) - len(sets[b])) < 0.25 * max(len(sets[a]), len(sets[b])))
             assert missed <= 1
