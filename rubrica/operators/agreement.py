@@ -78,10 +78,15 @@ def token_totals(df: DataFrame, request: str, tokens_in: str, tokens_out: str) -
 GATES = {"exact_agreement": 0.85, "binary_agreement": 0.95, "weighted_kappa": 0.85}
 
 
-def release_gates(metrics: DataFrame, gates=GATES) -> DataFrame:
-    """metrics with a column per gate and `released`, which needs them all."""
+def release_gates(metrics: DataFrame, gates=GATES, *, schema_valid: str | None = None) -> DataFrame:
+    """metrics with a column per gate and `released`, which needs them all (and a true schema_valid, if named)."""
     made = metrics.withColumns({f"{k}_passed": F.coalesce(F.col(k) >= v, F.lit(False)) for k, v in gates.items()})
-    passed = F.lit(True)
+    passed = F.coalesce(F.col(schema_valid), F.lit(False)) if schema_valid else F.lit(True)
     for k in gates:
         passed = passed & F.col(f"{k}_passed")
     return made.withColumn("released", passed)
+
+
+def strict_class(df: DataFrame, reference: str, model: str, top: int = 3) -> DataFrame:
+    """One row: support, precision, recall and f1 of the top class against all others."""
+    return per_class(df.select((F.col(reference) == top).cast("int").alias("r"), (F.col(model) == top).cast("int").alias("m")), "r", "m", 2).where("category = 1").drop("category")

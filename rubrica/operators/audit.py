@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.operators.agreement import agreement
+from rubrica.operators.sampling import audit_sample
+
+LABEL_COLUMNS = ("score", "evidence", "reason", "confidence", "label_status")
+
 
 def comparison(sample: DataFrame, audit: DataFrame, id_col: str) -> DataFrame:
     """sample (primary_*) beside the blind audit (audit_*), with `disagrees`."""
@@ -28,3 +33,17 @@ def apply_adjudications(labels: DataFrame, adjudicated: DataFrame, id_col: str,
     joined = labels.join(new, id_col, "left").withColumn("primary_score", F.col("score"))
     taken = {c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(taken).drop("__new")
+
+
+def reliability(labels: DataFrame, id_col: str, seed: int, size: int, audit: Callable[[DataFrame], DataFrame], adjudicate: Callable[[DataFrame], DataFrame], *, low: Column, conflict: Column, strict: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels with adjudications applied, the compared sample, metrics of one row).
+
+    audit labels the ids of the sample without seeing the first labels; adjudicate gets (id, context)
+    of the disagreements alone. Both give LABEL_COLUMNS.
+    """
+    sample = audit_sample(labels, id_col, size, seed, low=low, conflict=conflict, strict=strict)
+    named = lambda df, name: df.select(id_col, *[F.col(c).alias(f"{name}_{c}") for c in LABEL_COLUMNS if c != "label_status"])
+    first = sample.select(id_col, "selection_reason").join(named(labels, "primary"), id_col)
+    compared = comparison(first, named(audit(sample.select(id_col)), "audit"), id_col)
+    decided = adjudicate(adjudication_context(compared, id_col))
+    return apply_adjudications(labels, decided, id_col, LABEL_COLUMNS), compared, agreement(compared, "primary_score", "audit_score")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.functions.scoring import BOUNDARIES, CONFIDENCES, ROLES, derive_score
+from rubrica.functions.scoring import BOUNDARIES, CONFIDENCES, ROLES, TECHNICAL_TITLE, derive_score
 from rubrica.functions.text import one_of, title_line
 
 LONGEST_REASON, MOST_EVIDENCE = 240, 5
@@ -83,8 +83,6 @@ def label_rules(source: str | None = None, title_prefix: str = "") -> dict[str,
     if source:
         text = F.col(source)
         title = title_line(text, title_prefix)
-        from rubrica.functions.scoring import TECHNICAL_TITLE
-
         rules["evidence_outside_source"] = F.exists(evidence, lambda x: ~F.contains(text, x))
         rules["generic_title_alone"] = (score > 0) & (F.size(evidence) == 1) & (F.get(evidence, F.lit(0)) == title) & ~title.rlike(f"(?i){TECHNICAL_TITLE}")
     return rules
@@ -94,3 +92,40 @@ def calibrated_confidence() -> Column:
     """A positive score on less than two pieces of evidence is not of high confidence."""
     thin = (F.col("score") > 0) & (F.size("evidence") < 2) & (F.col("confidence") == "high")
     return F.when(thin, "medium").otherwise(F.col("confidence"))
+
+
+#: Fixed value: what a key of a model service looks like.
+SECRET = r"sk-[A-Za-z0-9]{20,}"
+
+
+def blank_counts(df: DataFrame) -> DataFrame:
+    """(check, violations): blank or null values of each column."""
+    return row_rules(df, {f"blank_{c}": F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "" for c in df.columns})
+
+
+def provenance(rules: DataFrame, columns: Sequence[str] = ("reviewer", "reviewed_at", "review_basis")) -> DataFrame:
+    """Rules that don't say who reviewed them, when and on what ground."""
+    missing = F.lit(False)
+    for c in columns:
+        missing = missing | (F.trim(F.coalesce(F.col(c), F.lit(""))) == "")
+    return row_rules(rules, {"rule_provenance": missing})
+
+
+def complete_mapping(ids: DataFrame, mapping: DataFrame, key: str, name: str) -> DataFrame:
+    """Violations: ids without a mapping, mappings without an id, and keys that are mapped twice."""
+    once = mapping.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    wrong = F.col("here").isNull() | F.col("n").isNull() | (F.col("n") > 1)
+    joined = ids.select(key).distinct().withColumn("here", F.lit(1)).join(once, key, "full")
+    return joined.agg(F.count_if(wrong).alias("violations")).select(F.lit(name).alias("check"), "violations")
+
+
+def one_value(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Violations: how many values a column has beyond one (runs that must share a fingerprint)."""
+    return df.agg(F.greatest(F.count_distinct(column) - 1, F.lit(0)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+
+
+def required_files(listing: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Violations: files of these names that a listing (path) lacks, a row for each name."""
+    wanted = listing.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    there = listing.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name")).distinct().withColumn("there", F.lit(1))
+    return wanted.join(there, "name", "left").select(F.concat(F.lit("file_"), "name").alias("check"), F.when(F.col("there").isNull(), 1).otherwise(0).cast("bigint").alias("violations"))

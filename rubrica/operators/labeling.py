@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -45,6 +47,12 @@ def prompt(stage: str, rubric: str, items: Sequence[tuple[str, str]], contexts:
     return "\n\n".join([SYSTEM, STAGES[stage], rubric, json.dumps(texts, ensure_ascii=False)])
 
 
+def prompt_fingerprint(rubric: dict, *, stage: str, model: str, versions: dict[str, str], thinking: bool = False) -> str:
+    """SHA-256 of all that shapes an answer, as canonical JSON: labels of unlike fingerprints don't mix."""
+    parts = {"rubric": rubric, "stage": stage, "model": model, "versions": versions, "thinking": thinking, "system": SYSTEM, "task": STAGES[stage]}
+    return hashlib.sha256(json.dumps(parts, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def _check(item: dict, source: str) -> dict:
     def need(ok: bool, what: str) -> None:
         if not ok:
@@ -61,8 +69,6 @@ def _check(item: dict, source: str) -> dict:
     spans = [find_span(e.strip(), source) for e in item["evidence"][:5]]
     need(None not in spans, "evidence is not in the text")
     need(score == 0 or bool(spans), "a positive score needs evidence")
-    import re
-
     title = source.split("\n", 1)[0].partition("：")[2].strip() or source.split("\n", 1)[0].strip()
     need(not (score and spans == [title] and not re.search(TECHNICAL_TITLE, title, re.I)), "a generic title is no evidence")
     sure = "medium" if score and len(spans) < 2 and item["confidence"] == "high" else item["confidence"]

@@ -58,6 +58,8 @@ def weighted_ratio(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     plain, far = ratio(a, b), max(len(a), len(b)) / min(len(a), len(b))
+    if far < 1.5 and " " not in a and " " not in b:
+        return plain  # single words: order and sets of words say nothing more
     if far < 1.5:
         return max(plain, 0.95 * ratio(_sorted_words(a), _sorted_words(b)), 0.95 * _word_sets(a, b, ratio))
     scale = 0.9 if far < 8 else 0.6

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubrica.functions import dates, text
-from rubrica.operators import agreement, annual, cache, checks, dedup, labeling, matching
+from rubrica.operators import agreement, annual, cache, checks, dedup, evaluation, labeling, matching
 from rubrica.sources import files, schemas, sinks
 
 
@@ -100,7 +100,7 @@ def verify(spark: SparkSession, target: str) -> DataFrame:
 
 def evaluate(reference: DataFrame, predictions: DataFrame, id_col: str = "canonical_id") -> tuple[DataFrame, DataFrame]:
     """(judgements, metrics with gates) of predictions against a human reference."""
-    from rubrica.operators import evaluation
-
     judged = evaluation.judged(reference, predictions, id_col)
-    return judged, agreement.release_gates(agreement.agreement(judged, "human_score", "score"))
+    valid = judged.agg(F.bool_and("schema_valid").alias("schema_valid"))
+    metrics = agreement.agreement(judged, "human_score", "score").crossJoin(F.broadcast(valid))
+    return judged, agreement.release_gates(metrics, schema_valid="schema_valid")

@@ -669,3 +669,119 @@ def provisional_labels(spark, d):
 def json_parse(spark, d):
     parsed = F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"})
     return table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"), F.count_if(parsed.isNotNull()).alias("parsed"))
+
+
+# ---- projection, order and sets -----------------------------------------------------------------
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS place, s_nationkey FROM supplier")
+def numeric_order(spark, d):
+    """A text id sorts by its number; places are counted within a nation."""
+    from pyspark.sql import Window
+
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_nationkey")
+    return s.withColumn("place", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.col("id").cast("bigint"))))
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 3")
+def top_k_per_group(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice").withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
+
+
+@query("SELECT p_brand, arg_max(p_name, struct_pack(l := length(p_name), n := p_name)) AS longest FROM part GROUP BY p_brand")
+def longest_first(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(F.max_by("p_name", F.struct(F.length("p_name"), F.col("p_name"))).alias("longest"))
+
+
+@query("""SELECT 'union_all' AS operation, count(*) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) UNION ALL SELECT 'intersect', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+    UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'distinct', count(DISTINCT source) FROM documents""")
+def set_operations(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    ids = docs.select("doc_id")
+    parts = {"union_all": ids.unionByName(labels), "intersect": ids.intersect(labels), "except": ids.exceptAll(labels), "distinct": docs.select("source").distinct()}
+    counted = [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("operation"), "n") for k, p in parts.items()]
+    return checks.union(counted)
+
+
+@query("SELECT o_orderkey AS canonical_id, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'pending' END AS label_status FROM orders")
+def value_map(spark, d):
+    status = F.coalesce(F.try_element_at(F.create_map(F.lit("F"), F.lit("final"), F.lit("O"), F.lit("open")), F.col("o_orderstatus")), F.lit("pending"))
+    return table(spark, d, "orders").select("o_orderkey", status.alias("label_status")).withColumnsRenamed({"o_orderkey": "canonical_id"})
+
+
+@query(f"SELECT a AS score, count(*) AS n FROM {RATED} GROUP BY a")
+def frequency_table(spark, d):
+    return rated(spark, d).groupBy(F.col("a").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderstatus) AS states FROM orders")
+def distinct_counts(spark, d):
+    return table(spark, d, "orders").agg(F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderstatus").alias("states"))
+
+
+@query("SELECT doc_id, CASE WHEN h = '' THEN score ELSE 3 END AS score, confidence FROM (SELECT doc_id, doc_id % 4 AS score, '' AS h, CASE WHEN doc_id % 4 > 0 AND doc_id % 3 < 2 THEN 'medium' ELSE 'high' END AS confidence FROM documents)")
+def calibrated_confidence(spark, d):
+    k = F.col("doc_id")
+    labels = table(spark, d, "documents").select("doc_id", (k % 4).alias("score"), F.lit("high").alias("confidence"), F.array_repeat(F.lit("e"), (k % 3).cast("int")).alias("evidence"))
+    return labels.select("doc_id", "score", checks.calibrated_confidence().alias("confidence"))
+
+
+def _sheet(spark, d) -> DataFrame:
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select(
+        k.cast("string").alias("review_id"), F.col("lang").alias("title"), F.col("text").alias("body"), F.col("source").alias("tags"),
+        F.when(k % 7 == 0, "five").otherwise((k % 4).cast("string")).alias("human_score"),
+        F.when(k % 4 == 0, "none").when(k % 4 == 1, "auxiliary").otherwise("core").alias("technology_role"), F.when(k % 11 == 0, "maybe").otherwise((k % 4 == 3).cast("string")).alias("strict_ai"),
+        F.when(k % 13 == 0, "sure").otherwise("high").alias("human_confidence"), F.when(k % 5 == 0, "#not in the text#").otherwise(F.substr("text", F.lit(1), F.lit(6))).alias("human_evidence"), F.lit("").alias("human_note"))
+
+
+@query("""WITH t AS (SELECT doc_id AS k, doc_id % 7 = 0 AS no_score, doc_id % 11 = 0 AS no_strict FROM documents)
+    SELECT CAST(k AS VARCHAR) AS review_id, concat_ws('|', CASE WHEN no_score THEN 'score' END, CASE WHEN no_strict THEN 'strict' END, CASE WHEN no_score OR (no_strict AND k % 4 = 3) THEN 'mapping' END,
+        CASE WHEN k % 13 = 0 THEN 'confidence' END, CASE WHEN (no_score OR k % 4 > 0) AND k % 5 = 0 THEN 'evidence' END) AS errors
+    FROM t WHERE no_score OR no_strict OR k % 13 = 0 OR (k % 4 > 0 AND k % 5 = 0)""")
+def review_errors(spark, d):
+    return evaluation.review_errors(_sheet(spark, d), "title", "body", "tags")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS review_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE trim(substr(text, 1, 6)) END AS human_evidence
+    FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 4 = 0""")
+def review_normalised(spark, d):
+    exact = _sheet(spark, d).where("int(review_id) % 5 <> 0 or int(review_id) % 4 = 0").withColumn("human_score", (F.col("review_id").cast("int") % 4).cast("string"))
+    return evaluation.normalised_review(exact, "title", "body", "tags").select("review_id", "human_evidence")
+
+
+@query("""SELECT 'mapping' AS "check", count(*) FILTER (WHERE l.doc_id IS NULL) AS violations FROM documents d LEFT JOIN labels l USING (doc_id)
+    UNION ALL SELECT 'one_language', count(DISTINCT lang) - 1 FROM documents UNION ALL SELECT 'rule_provenance', count(*) FILTER (WHERE s_suppkey % 3 = 0) FROM supplier UNION ALL SELECT 'blank_x', count(*) FILTER (WHERE doc_id % 4 = 0) FROM documents""")
+def ledger_checks(spark, d):
+    docs, s = table(spark, d, "documents"), table(spark, d, "supplier")
+    ledger = s.select(F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise("x").alias("reviewer"), F.lit("2026").alias("reviewed_at"), F.lit("y").alias("review_basis"))
+    return checks.union([
+        checks.complete_mapping(docs, table(spark, d, "labels"), "doc_id", "mapping"), checks.one_value(docs, "lang", "one_language"),
+        checks.provenance(ledger), checks.blank_counts(docs.select(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("x")))])
+
+
+@query(f"SELECT count(*) FILTER (WHERE a = 3) AS support, count(*) FILTER (WHERE b = 3) AS predicted, count(*) FILTER (WHERE a = 3 AND b = 3) AS hits, round(count(*) FILTER (WHERE a = 3 AND b = 3) / count(*) FILTER (WHERE b = 3), 6) AS precision, round(count(*) FILTER (WHERE a = 3 AND b = 3) / count(*) FILTER (WHERE a = 3), 6) AS recall, round(2 * count(*) FILTER (WHERE a = 3 AND b = 3) / (count(*) FILTER (WHERE b = 3) + count(*) FILTER (WHERE a = 3)), 6) AS f1 FROM {RATED}")
+def strict_class_metrics(spark, d):
+    return rounded(agreement.strict_class(rated(spark, d), "a", "b"))
+
+
+@query()
+def file_listing(spark, d):
+    from rubrica.sources.files import list_files
+
+    found = list_files(spark, d, without="lineitem|documents|pages|embeddings")
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "bytes", "sha256")
+
+
+@query(f"""WITH r AS (SELECT doc_id, score, selection_reason, doc_id % 9 = 0 AS differs FROM ({ROBIN_SQL.format(size=ROBIN_SIZE)}))
+    SELECT f.doc_id, CASE WHEN r.differs THEN 3 - f.score ELSE f.score END AS score, CASE WHEN r.differs AND 3 - f.score <> f.score THEN 'adjudicated' ELSE 'primary' END AS label_status FROM {FRAMED} f LEFT JOIN r USING (doc_id)""")
+def reliability_audit(spark, d):
+    labels = framed(spark, d).withColumns({"evidence": F.lit("e"), "reason": F.lit("r"), "confidence": F.lit("high"), "label_status": F.lit("primary")})
+    second = labels.select("doc_id", F.when(F.col("doc_id") % 9 == 0, 3 - F.col("score")).otherwise(F.col("score")).alias("score"), "evidence", "reason", "confidence", "label_status")
+    size = sampling.targeted(labels, "doc_id", **_targets()).count() + AUDIT_SIZE
+    made, _, _ = audit.reliability(
+        labels, "doc_id", SEED, size, lambda ids: second.join(ids, "doc_id", "left_semi"),
+        lambda asked: second.join(asked.select("doc_id"), "doc_id", "left_semi").withColumn("label_status", F.lit("adjudicated")), **_targets())
+    return made.select("doc_id", "score", "label_status")
