@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -178,8 +178,10 @@ def _words(text: Column) -> Column:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS) -> LicenseModel:
     """A model from the templates and from at most 20 paragraphs (of up to 400 code points) each of
     `most_docs` documents, taken by the order of a hash of their ids."""
-    some = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.slice(F.regexp_extract_all(F.col(text_col), F.lit(PARAGRAPH), F.lit(0)), 1, 20).alias("p"))
-    return fit([p for r in some.orderBy("h", F.xxhash64("p")).limit(most_docs).collect() for p in r["p"]])
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    chosen = rows.orderBy("h", F.xxhash64("text")).limit(most_docs)
+    parts = chosen.select(F.slice(F.regexp_extract_all("text", F.lit(PARAGRAPH), F.lit(0)), 1, 20).alias("p"))
+    return fit([p for r in parts.collect() for p in r["p"]])
 
 
 def scan(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
