@@ -35,7 +35,7 @@ class Codec:
     document's key and the place of the occurrence.
     """
 
-    def __init__(self, path: str, *, seed: int = 42, dropout: float = 0.1, variants: int = 4, most: int = 300_000):
+    def __init__(self, path: str, *, seed: int = 42, dropout: float = 0.1, variants: int = 2, most: int = 400_000):
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [(i, p.id_to_piece(i)) for i in range(p.get_piece_size())]
         plain = [(i, s) for i, s in names if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
@@ -49,33 +49,56 @@ class Codec:
         self.units = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if at_line else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.seed, self.limit, self.variants, self.most = seed, int(dropout * (1 << 32)), variants, most
         self.keys = [_mix(seed * 0x9E3779B97F4A7C15 + 2 * v + 1 & _MASK) for v in range(variants)]
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(variants + 1)]
+        self.none = len(order)
+        self.kept: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def _ids(self, symbols: list[str]) -> bytes:
         out = array("I")
         for s in symbols:
-            known = self.ids.get(s)
-            if known is None:
-                out.extend(self.bytes[b] for b in s.encode())
+            if (known := self.ids.get(s)) is None:
+                out.extend([self.bytes[b] for b in s.encode()])
             else:
                 out.append(known)
         return out.tobytes()
 
+    def _skips(self, key: int, rank: int, place: int) -> bool:
+        return ((key ^ rank * 0x9E3779B97F4A7C15 ^ place * 0xD1B54A32D192ED03) * 0xDA942042E4DD58B5 & _MASK) >> 32 < self.limit
+
     def segment(self, unit: str, key: int | None) -> list[str]:
-        """Pieces of one unit; no merge is skipped without a key."""
+        """Pieces of one unit; no merge is skipped without a key.
+
+        The agenda of a short unit is a list with the rank of each neighbouring pair, whose least
+        entry comes up next, the leftmost first; that of a long one is a heap of the same order.
+        """
+        if len(unit) > 40:
+            return self._segment_long(unit, key)
+        get, none, limited = self.rank.get, self.none, key is not None and self.limit > 0
+        symbols, places = list(unit), list(range(len(unit)))
+        agenda = [get(unit[i : i + 2], none) for i in range(len(unit) - 1)]
+        while agenda and (r := min(agenda)) < none:
+            i = agenda.index(r)
+            if limited and self._skips(key, r, places[i]):
+                agenda[i] = none
+                continue
+            p = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            places.pop(i + 1)
+            agenda.pop(i)
+            if i < len(agenda):
+                agenda[i] = get(p + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + p, none)
+        return symbols
+
+    def _segment_long(self, unit: str, key: int | None) -> list[str]:
         symbols: list[str | None] = list(unit)
-        n, rank, limit = len(symbols), self.rank, self.limit if key is not None else 0
-        if n == 1:
-            return [unit]
+        n, rank, limited = len(symbols), self.rank, key is not None and self.limit > 0
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, p) for i, p in enumerate(map("".join, zip(unit, unit[1:], strict=False))) if (r := rank.get(p)) is not None]
         heapq.heapify(agenda)
         while agenda:
             r, i, p = heapq.heappop(agenda)
             j = right[i]
-            if symbols[i] is None or j >= n or symbols[i] + symbols[j] != p:
-                continue
-            if limit and _mix(key + r * 0x9E3779B97F4A7C15 + i * 0xD1B54A32D192ED03 & _MASK) >> 32 < limit:
+            if symbols[i] is None or j >= n or symbols[i] + symbols[j] != p or limited and self._skips(key, r, i):
                 continue
             symbols[i], symbols[j] = p, None
             k = right[i] = right[j]
@@ -91,30 +114,25 @@ class Codec:
     def _unit(self, unit: str, variant: int) -> bytes:
         kept = self.kept[variant]
         if (found := kept.get(unit)) is None:
-            if len(kept) >= self.most // len(self.kept):
+            if len(kept) >= self.most // self.variants:
                 kept.clear()
-            found = self._ids(self.segment(unit, self.keys[variant] if variant < self.variants else None))
+            found = self._ids(self.segment(unit, self.keys[variant] if self.limit else None))
             if len(unit) <= 64:
                 kept[unit] = found
         return found
 
-    def encode(self, text: str, doc_key: int | None = None) -> bytes:
-        """Ids as native unsigned 32-bit numbers: with dropout for a document's key, without for None."""
+    def encode(self, text: str, doc_key: int = 0) -> bytes:
+        """Ids as native unsigned 32-bit numbers. Without dropout the key makes no difference."""
         if not text:
             return b""
-        out, at = [], 0
+        out: list[bytes] = []
+        state, variants, one = doc_key & _MASK, self.variants if self.limit else 1, self._unit
         for n, part in enumerate(text.split(SPACE)):  # a space sign of the text's own is written in bytes
             if n:
                 out.append(array("I", [self.bytes[b] for b in SPACE.encode()]).tobytes())
-            units = self.units.findall(("" if n else SPACE) + part.replace(" ", SPACE))
-            if doc_key is None:
-                out += [self._unit(u, self.variants) for u in units]
-            else:
-                state = doc_key & _MASK
-                for u in units:
-                    state = state * 6364136223846793005 + 1442695040888963407 & _MASK
-                    out.append(self._unit(u, (state >> 33) % self.variants))
-            at += len(units)
+            for unit in self.units.findall(("" if n else SPACE) + part.replace(" ", SPACE)):
+                state = state * 0x5851F42D4C957F2D + 0x14057B7EF767814F & _MASK
+                out.append(one(unit, (state >> 33) % variants))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -123,22 +141,20 @@ class Codec:
 
 
 def encode(docs: DataFrame, path: str, *, seed: int = 42, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary, plain_ids binary) for every row of docs: with dropout, and without.
+    """(id, ids binary) for every row of docs; with dropout 0 the library's own ids.
 
     ids are little-endian unsigned 32-bit numbers on the usual machines. The segmentation depends on
     seed, id and text alone. Null and empty texts have no ids. Rows that repeat an id each have a
     row, null ids too. Other columns are not read. An empty table gives an empty result.
     """
 
-    @F.pandas_udf("ids binary, plain_ids binary")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         codec = Codec(path, seed=seed, dropout=dropout)
         for texts, keys in batches:
-            texts = [t or "" for t in texts]
-            yield pd.DataFrame({"ids": [codec.encode(t, int(k)) for t, k in zip(texts, keys, strict=True)], "plain_ids": [codec.encode(t) for t in texts]})
+            yield pd.Series([codec.encode(t or "", int(k)) for t, k in zip(texts, keys, strict=True)], dtype=object)
 
-    made = docs.select(F.col(id_col).alias("__id"), run(F.col(text_col), F.xxhash64(F.lit(seed), F.col(id_col))).alias("c"))
-    return made.select(F.col("__id").alias(id_col), "c.ids", "c.plain_ids")
+    return docs.select(F.col(id_col).alias(id_col), run(F.col(text_col), F.xxhash64(F.lit(seed), F.col(id_col))).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", name: str = "decoded") -> DataFrame:

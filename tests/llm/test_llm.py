@@ -370,11 +370,13 @@ def test_segmentations_decode_and_equal_the_library(spark, docs, awkward):
     made = pieces.decode(pieces.encode(awkward.where("doc_id <> 3"), q.PIECES, dropout=0.3), q.PIECES).collect()
     source = {r.doc_id: r.text for r in awkward.collect()}
     assert len(made) == 10 and all(r.decoded == (source[r.doc_id] or "") for r in made)
-    codec, keyed = pieces.Codec(q.PIECES), pieces.Codec(q.PIECES, dropout=0.2)
+    codec, keyed = pieces.Codec(q.PIECES, dropout=0), pieces.Codec(q.PIECES, dropout=0.2)
     other = pieces.Codec(q.PIECES, dropout=0.2, seed=7)
     for i, t in texts(docs):
         assert list(array.array("I", codec.encode(t))) == sp.encode(t)
-        assert keyed.decode(keyed.encode(t, i)) == t and keyed.encode(t, i) == pieces.Codec.encode(keyed, t, i)
+        assert keyed.decode(keyed.encode(t, i)) == t and keyed.encode(t, i) == keyed.encode(t, i)
+        for unit in t.split()[:40]:
+            assert keyed.segment(unit, keyed.keys[0]) == keyed._segment_long(unit, keyed.keys[0])
     long = max((t for _, t in texts(docs)), key=len)
     assert len({bytes(keyed.encode(long, 1)), bytes(keyed.encode(long, 2)), bytes(other.encode(long, 1)), bytes(codec.encode(long))}) == 4
     for odd in ("▁a▁▁ b", "a\n\n b ", "  ", "😀é\x00"):
