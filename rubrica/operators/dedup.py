@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _digest(keys: Sequence[str]) -> tuple:
+    """128 bits that equal key values share (null equals null): what groups when the values themselves
+    need not travel."""
+    parts = [*[F.col(k).isNull() for k in keys], *[F.col(k) for k in keys]]
+    return F.xxhash64(*parts).alias("__a"), F.xxhash64(F.lit(7), *parts).alias("__b")
+
+
 def canonical(df: DataFrame, keys: Sequence[str], id_col: str, order: str | None = None) -> DataFrame:
     """A row per group of equal keys (null equals null): the first by `order` (the id, if none given).
 
@@ -27,22 +34,18 @@ def canonical(df: DataFrame, keys: Sequence[str], id_col: str, order: str | None
 def lineage(df: DataFrame, keys: Sequence[str], id_col: str, order: str | None = None) -> DataFrame:
     """(source_id, canonical_id, is_duplicate) for every row.
 
-    Groups are summed first and joined back, so that a very large group is a skewed join and not a
-    window in one task.
+    Groups are summed first and joined back by a digest of their keys, so that texts don't travel
+    and a very large group is a skewed join and not a window in one task.
     """
     order = order or id_col
-    groups = df.groupBy(*keys).agg(F.min_by(id_col, order).alias("canonical_id"))
-    same = None
-    left, right = df.select(id_col, *keys).alias("l"), groups.alias("r")
-    for k in keys:
-        c = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        same = c if same is None else same & c
-    return left.join(right, same, "left").select(F.col(f"l.{id_col}").alias("source_id"), "canonical_id", (F.col(f"l.{id_col}") != F.col("canonical_id")).alias("is_duplicate"))
+    rows = df.select(F.col(id_col).alias("source_id"), F.col(order).alias("__order"), *_digest(keys))
+    groups = rows.groupBy("__a", "__b").agg(F.min_by("source_id", "__order").alias("canonical_id"))
+    return rows.join(groups, ["__a", "__b"]).select("source_id", "canonical_id", (F.col("source_id") != F.col("canonical_id")).alias("is_duplicate"))
 
 
 def stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: raw, canonical, removed, duplicate_groups."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.select(*_digest(keys)).groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("bigint")
     return sizes.agg(
         F.coalesce(F.sum("n"), zero).alias("raw"), F.count(F.lit(1)).alias("canonical"),
