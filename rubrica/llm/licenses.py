@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.llm.common import cut
+
 UNKNOWN = "unknown"
 #: Usual notices of each family, one sentence or header each.
 TEMPLATES = {
@@ -201,7 +203,8 @@ def scan(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id", text_c
     units = texts.select("__row", F.posexplode(F.regexp_extract_all("__text", F.lit(PARAGRAPH), F.lit(0))).alias("paragraph", "unit"))
     units = units.withColumn("words", _words(F.col("unit"))).where(F.arrays_overlap("words", known)).drop("unit")
     pairs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1)))
-    units = units.withColumn("pairs", F.when(F.size("words") > 1, F.array_distinct(pairs)).otherwise(F.col("words"))).dropDuplicates(["__row", "paragraph"])
+    units = units.withColumn("pairs", F.when(F.size("words") > 1, F.array_distinct(pairs)).otherwise(F.col("words")))
+    units = cut(units.dropDuplicates(["__row", "paragraph"]))  # few, and used twice below
     count = len(model.classes)
     table = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, " + ", ".join(f"w{k} double" for k in range(count)))
     grams = units.select("__row", "paragraph", F.explode(F.array_distinct(F.concat("words", "pairs"))).alias("gram")).join(F.broadcast(table), "gram")
