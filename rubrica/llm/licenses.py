@@ -128,21 +128,21 @@ def fit(negatives: list[str], *, seed: int = 5, copies: int = 40, rounds: int =
     grams = sorted(g for g in {g for ts in TEMPLATES.values() for t in ts for g in _grams(t)} if set(g.split()) & own)
     index = {g: i for i, g in enumerate(grams)}
     filler = sorted(common) or ["x"]
+    some = lambda words, n: [words[i] for i in rng.integers(0, len(words), n)]
     texts, y = [], []
     for k, ts in enumerate(TEMPLATES.values()):
         for t in ts:
             words = t.split()
             for c in range(copies):
                 kept = [w for w in words if c == 0 or rng.random() > 0.12]
-                around = [str(rng.choice(filler)) for _ in range(int(rng.integers(0, 6)) * (c > 0))]
+                around = some(filler, int(rng.integers(0, 6)) * (c > 0))
                 texts.append(" ".join([*around[:3], *kept, *around[3:]]))
                 y.append(k)
     for n in [*clean[:400], *OTHERS * 5]:  # paragraphs of the corpus have no feature left: a few will do
         texts.append(n)
         y.append(len(classes) - 1)
     for t in [t for ts in TEMPLATES.values() for t in ts] * 4:  # single words of licenses, out of order and few
-        words = t.split()
-        texts.append(" ".join([str(rng.choice(words)), *[str(rng.choice(filler)) for _ in range(6)]]))
+        texts.append(" ".join(some(t.split(), 1) + some(filler, 6)))
         y.append(len(classes) - 1)
     x = np.zeros((len(texts), len(grams)), np.float32)
     for i, t in enumerate(texts):
