@@ -11,8 +11,9 @@ import os
 import re
 import sys
 from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,10 @@ from tokenizers import Tokenizer
 LENGTH = 4096
 #: Documents whose pieces make up a group, about.
 GROUP = 2048
-#: Words whose ids one worker keeps; the store starts anew beyond that.
-MOST_WORDS = 150_000
+#: Words and parts whose ids one worker keeps; the store starts anew beyond that.
+MOST_WORDS = 400_000
+#: Documents that a worker handles at a time.
+SLICE = 256
 
 #: Texts of these characters alone are the same in NFC, and white space always ends a word in them.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r -~¡-įı-ňŊ-ž]")
@@ -41,29 +44,43 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordStore(dict):
-    """Ids of words as bytes (little-endian, 32 bits each), made on demand.
+    """Ids of words and of their parts as bytes (little-endian, 32 bits each), made on demand.
 
     The vocabulary's rules never look across white space, so a text's ids are those of its words,
     and a word's ids are those of its parts.
     """
 
-    def __init__(self, tokenizer, most: int = MOST_WORDS):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         super().__init__()
-        self.model, self.most, self.parts, self.letters = tokenizer.model, most, {}, _byte_letters()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.most, self.letters = self.tokenizer.model, most, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        made = self[word] = b"".join([self.parts.get(p) or self.part(p) for p in _PARTS.findall(word)])
+        parts = _PARTS.findall(word)
+        if parts == [word]:
+            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            made = _bytes([t.id for t in self.model.tokenize(shown)])
+        else:
+            made = b"".join([self[p] for p in parts])
+        self[word] = made
         return made
 
-    def part(self, part: str) -> bytes:
-        shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        made = self.parts[part] = _bytes([t.id for t in self.model.tokenize(shown)])
-        return made
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text: the same as the tokenizer's own without special tokens."""
+        if not text:
+            return b""
+        if len(self) > self.most:
+            self.clear()
+        if _PLAIN.search(text) is None and not any(s in text for s in _SPECIAL):
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
 
-    def trim(self) -> None:
-        for store in (self, self.parts):
-            if len(store) > self.most:
-                store.clear()
+@cache
+def word_store(path: str) -> WordStore:
+    """The store of this process: a worker keeps it from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordStore(path)
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -73,17 +90,6 @@ def _bytes(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def encode_texts(tokenizer, store: WordStore, texts: list[str | None]) -> list[bytes]:
-    """Ids of each whole text as bytes; the same as the tokenizer's own without special tokens."""
-    texts = [t or "" for t in texts]
-    plain = [_PLAIN.search(t) is None and not any(s in t for s in _SPECIAL) for t in texts]
-    out: list[bytes] = []
-    for t, p in zip(texts, plain, strict=True):
-        out.append(b"".join(map(store.__getitem__, t.lower().split())) if p else _bytes(tokenizer.encode(t, add_special_tokens=False).ids))
-        store.trim()
-    return out
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids binary, doc_tokens): each text's ids and end_id, cut every `length` ids.
 
@@ -92,19 +98,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, length: int
     """
     size = 4 * length
 
-    @F.pandas_udf("array<binary>")
-    def cut_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        store, end = WordStore(tokenizer), _bytes([end_id])
-        for texts in batches:
-            whole = (ids + end for ids in encode_texts(tokenizer, store, list(texts)))
-            yield pd.Series([[ids[at : at + size] for at in range(0, len(ids), size)] for ids in whole], dtype=object)
-
-    made = docs.select(F.col(id_col).alias("__id"), cut_ids(F.col(text_col)).alias("parts"))
-    many, last = F.size("parts").cast("bigint"), F.octet_length(F.element_at("parts", -1)).cast("bigint")
-    made = made.select("__id", ((many - 1) * length + last / 4).cast("bigint").alias("doc_tokens"), F.posexplode("parts").alias("part", "ids"))
-    return made.select(F.col("__id").alias(id_col), (F.col("part").cast("bigint") * length).alias("start"), (F.octet_length("ids") / 4).cast("bigint").alias("length"), "ids", "doc_tokens")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, end = word_store(tokenizer_path), _bytes([end_id])
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):  # little is held at a time
+                part = batch.slice(at, SLICE)
+                rows, starts, ids, totals = [], [], [], []
+                for n, text in enumerate(part.column(1).to_pylist()):
+                    whole = store.encode(text) + end
+                    for start in range(0, len(whole), size):
+                        rows.append(n)
+                        starts.append(start // 4)
+                        ids.append(whole[start : start + size])
+                        totals.append(len(whole) // 4)
+                made = [starts, [len(x) // 4 for x in ids], ids, totals]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *map(pa.array, made, kinds)], names=["__id", "start", "length", "ids", "doc_tokens"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    made = source.mapInArrow(run, f"__id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint")
+    return made.select(F.col("__id").alias(id_col), "start", "length", "ids", "doc_tokens")
 
 
 class Bins:
