@@ -11,13 +11,17 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Documents that a worker handles at a time.
+SLICE = 256
 _MASK = (1 << 64) - 1
 
 
@@ -140,21 +144,33 @@ class Codec:
         return raw.decode()[1:] if raw else ""
 
 
-def encode(docs: DataFrame, path: str, *, seed: int = 42, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@cache
+def codec(path: str, seed: int, dropout: float) -> Codec:
+    """The codec of this process: a worker keeps it from task to task."""
+    return Codec(path, seed=seed, dropout=dropout)
+
+
+def encode(docs: DataFrame, path: str, *, seed: int = 42, dropout: float = 0.1, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary) for every row of docs; with dropout 0 the library's own ids.
 
     ids are little-endian unsigned 32-bit numbers on the usual machines. The segmentation depends on
-    seed, id and text alone. Null and empty texts have no ids. Rows that repeat an id each have a
-    row, null ids too. Other columns are not read. An empty table gives an empty result.
+    seed, id and text alone. decoded: adds what the ids decode to. Null and empty texts have no ids.
+    Rows that repeat an id each have a row, null ids too. Other columns are not read. An empty table
+    gives an empty result.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, seed, dropout)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):  # little is held at a time
+                part = batch.slice(at, SLICE)
+                ids = [own.encode(t or "", k) for t, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                more = [pa.array([own.decode(x) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *more], names=["__id", "ids", *["decoded"] * decoded])
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        codec = Codec(path, seed=seed, dropout=dropout)
-        for texts, keys in batches:
-            yield pd.Series([codec.encode(t or "", int(k)) for t, k in zip(texts, keys, strict=True)], dtype=object)
-
-    return docs.select(F.col(id_col).alias(id_col), run(F.col(text_col), F.xxhash64(F.lit(seed), F.col(id_col))).alias("ids"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("__key"))
+    made = source.mapInArrow(run, f"__id {kind}, ids binary" + ", decoded string" * decoded)
+    return made.withColumnRenamed("__id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -162,8 +178,8 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", name: str = "
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(path)
+        own = codec(path, 0, 0.0)
         for ids in batches:
-            yield pd.Series([codec.decode(x or b"") for x in ids], dtype=object)
+            yield pd.Series([own.decode(x or b"") for x in ids], dtype=object)
 
     return encoded.withColumn(name, run(F.col(ids_col)))

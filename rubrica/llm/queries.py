@@ -54,9 +54,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
-    made = pieces.encode(docs.select("doc_id", "text"), PIECES, seed=42, dropout=0.1)
-    back = pieces.decode(made, PIECES)
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = pieces.encode(docs, PIECES, seed=42, dropout=0.1, decoded=True)
+    return made.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,6 +369,7 @@ def test_segmentations_decode_and_equal_the_library(spark, docs, awkward):
     sp = sentencepiece.SentencePieceProcessor(model_file=q.PIECES)
     made = pieces.decode(pieces.encode(awkward.where("doc_id <> 3"), q.PIECES, dropout=0.3), q.PIECES).collect()
     source = {r.doc_id: r.text for r in awkward.collect()}
+    assert [r.decoded for r in made] == [r.decoded for r in pieces.encode(awkward.where("doc_id <> 3"), q.PIECES, dropout=0.3, decoded=True).collect()]
     assert len(made) == 10 and all(r.decoded == (source[r.doc_id] or "") for r in made)
     codec, keyed = pieces.Codec(q.PIECES, dropout=0), pieces.Codec(q.PIECES, dropout=0.2)
     other = pieces.Codec(q.PIECES, dropout=0.2, seed=7)
