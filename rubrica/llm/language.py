@@ -22,6 +22,8 @@ from rubrica.llm.common import held_out
 DIM_BUCKETS = 1 << 14
 #: Most documents of each language that a model learns from, and most bytes of each of them.
 MOST_DOCS, MOST_BYTES = 600, 1_000_000
+#: Languages that are told apart, at most: the most frequent ones.
+MOST_LANGUAGES = 1000
 LETTER = re.compile(r"[^\W\d_]")
 _NOISE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -125,14 +127,18 @@ def fit(counts: np.ndarray, y: np.ndarray, names: list[str], *, dim: int = 16, e
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> LanguageModel:
     """Learns from texts with a language, of rows whose crc32(id as text) mod 3 is not 1.
 
-    Of each language the documents with the least hashes of their ids are taken, `most_docs` at
-    most, each whole; texts of over `most_bytes` are left for others. The ids that are broadcast and
+    Of each language some documents are taken by hashes of their ids, `most_docs` at most, each whole; texts of over `most_bytes` are left for others. The ids that are broadcast and
     the bucket counts that the driver gets are bounded by that. Without rows every prediction is
     'und'.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(id_col).alias("__h"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= most_bytes)
-    ranked = rows.select("__id", "__lang", "__h").withColumn("rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id")))
+    # a hash share that leaves about twice as many rows of each language comes first, so that none of
+    # them is ranked whole; the counts are a row for each of at most MOST_LANGUAGES languages
+    counts = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__lang").limit(MOST_LANGUAGES)
+    few = rows.select("__id", "__lang", "__h").join(F.broadcast(counts), "__lang")
+    few = few.where(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 40)).cast("double") * F.col("__n") <= F.lit(2.0 * most_docs * (1 << 40)))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id")))
     chosen = ranked.where(F.col("rank") <= most_docs).select("__id", "__lang").distinct()
 
     @F.pandas_udf("at binary, n binary")
