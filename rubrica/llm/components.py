@@ -28,9 +28,11 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the edges of a hub can be split in the join
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         after = _marks(edges)

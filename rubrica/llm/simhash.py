@@ -330,6 +330,7 @@ def links_in_blocks(nodes: DataFrame, radius: int, least: float = 0.0) -> DataFr
     payload = [c for c in nodes.columns if c != "keys"]
     rows = nodes.select(*payload, F.explode("keys").alias("k")).select(*payload, "k.t", "k.key")
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = cut(sizes)  # both sides of the join are plain exchanges then, and a hot block can be split
     rows = rows.join(sizes, ["t", "key"])
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     mine = F.pmod(F.xxhash64("node"), pieces).cast("int")
