@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import lower_ascii
+from rubrica.llm.common import cut, lower_ascii
 
 #: A chunk has 160 to 2048 code points and ends after the first sentence end or line end in that
 #: range; without one, or at the end of the text, it takes what there is up to 2048.
@@ -50,7 +50,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if identify is None:
         raise ValueError("two unlike chunks share a SHA-256")
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("__norm"))
-    recipes = rows.select("__id", F.sha2("__norm", 256).alias("text_sha256"), F.transform(chunks(F.col("__norm")), identify).alias("recipe"))
+    # both written: texts are cut into chunks once here, and a very large group can be split in the join
+    recipes = cut(rows.select("__id", F.sha2("__norm", 256).alias("text_sha256"), F.transform(chunks(F.col("__norm")), identify).alias("recipe")))
     groups = recipes.groupBy("recipe").agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = recipes.join(groups, "recipe", "left")
+    found = recipes.join(cut(groups), "recipe", "left")
     return found.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
