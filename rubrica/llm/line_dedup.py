@@ -42,7 +42,8 @@ def _flagged(docs: DataFrame, threshold: int, least_chars: int, id_col: str, tex
         owners = owners.groupBy("a", "b").agg(F.count("one").alias("n"), F.min("id_rank").alias("owner")).where(F.col("n") >= threshold)
     else:  # two documents hold a key exactly if its least and greatest ids differ
         owners = lines.groupBy("a", "b").agg(F.min("id_rank").alias("owner"), F.max("id_rank").alias("other")).where("owner < other")
-    owners = owners.select("a", "b", "owner")
+    # written, so that both sides of the join are plain exchanges, of which a very common line can be split
+    owners = cut(owners.select("a", "b", "owner"))
     drops = lines.join(owners, ["a", "b"]).where("id_rank <> owner")
     drops = drops.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     joined = rows.join(drops.hint("shuffle_hash"), "__row", "left")
