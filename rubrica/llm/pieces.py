@@ -1,8 +1,10 @@
 """Encoding and decoding with a SentencePiece BPE vocabulary, with seeded merge dropout.
 
-Merges are taken from an agenda, best score first; each candidate that comes up is skipped if a hash
-keyed by the seed says so. A skipped pair may come up again once a neighbour has changed. What is
-not in the vocabulary is written in byte pieces, so every segmentation decodes to the same text.
+Merges are taken from an agenda, best score first; each candidate that comes up is skipped with the
+chance `dropout`, independently for every occurrence of a word: hashes keyed by seed, document and
+place give the distances from one skip to the next. A skipped pair may come up again once a
+neighbour has changed. What is not in the vocabulary is written in byte pieces, so every
+segmentation decodes to the same text.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,11 +38,12 @@ class Codec:
     """One vocabulary with its merges; encode(text, dropout, key) and decode(ids).
 
     The chance of a skip is `dropout`. Units (a word with the spaces before it, cut at line ends too)
-    are segmented one by one and kept; an occurrence of a unit takes one of `variants` keys, by the
-    document's key and the place of the occurrence.
+    are segmented one by one; each occurrence has a key of its own, from the document's key and its
+    place. What is kept is the result for a unit and the candidates skipped in it, which those two
+    settle, so that occurrences with equal skips share work.
     """
 
-    def __init__(self, path: str, *, seed: int = 42, dropout: float = 0.1, variants: int = 2, most: int = 400_000):
+    def __init__(self, path: str, *, seed: int = 42, dropout: float = 0.1, most: int = 400_000):
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [(i, p.id_to_piece(i)) for i in range(p.get_piece_size())]
         plain = [(i, s) for i, s in names if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
@@ -51,10 +55,16 @@ class Codec:
         crossing = any(SPACE in s.lstrip(SPACE) for s in self.ids)
         at_line = any("\n" in s and len(s) > 1 for s in self.ids)
         self.units = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if at_line else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.seed, self.limit, self.variants, self.most = seed, int(dropout * (1 << 32)), variants, most
-        self.keys = [_mix(seed * 0x9E3779B97F4A7C15 + 2 * v + 1 & _MASK) for v in range(variants)]
+        self.limit, self.most = int(dropout * (1 << 32)), most
+        self.keys = [_mix(seed * 0x9E3779B97F4A7C15 + 1 & _MASK)]
+        # of 2 ** 32 draws, those with a skip among the first 1, 2, ... candidates; later ones draw again
+        self.gaps, left = [], 1 << 64
+        for _ in range(64):
+            left = left * ((1 << 32) - self.limit) >> 32
+            self.gaps.append((1 << 32) - (left >> 32))
         self.none = len(order)
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.plain: dict[str, tuple[bytes, int]] = {}
+        self.kept: dict[tuple[str, int], bytes] = {}
 
     def _ids(self, symbols: list[str]) -> bytes:
         out = array("I")
@@ -65,8 +75,36 @@ class Codec:
                 out.append(known)
         return out.tobytes()
 
-    def _skips(self, key: int, rank: int, place: int) -> bool:
-        return ((key ^ rank * 0x9E3779B97F4A7C15 ^ place * 0xD1B54A32D192ED03) * 0xDA942042E4DD58B5 & _MASK) >> 32 < self.limit
+    def _skips(self, key: int | None) -> Iterator[int]:
+        """The numbers, from 0, of the candidates that an occurrence skips; -1 if it skips none."""
+        if key is None or not self.limit:
+            yield -1
+            return
+        at, gaps, most = 0, self.gaps, len(self.gaps)
+        while True:
+            gap = bisect_right(gaps, key >> 32)
+            at += gap
+            if gap < most:
+                yield at
+                at += 1
+            key = _mix(key + 0x9E3779B97F4A7C15 & _MASK)
+
+    def _skipped(self, merges: int, key: int) -> int:
+        """The same as bits, as far as `merges` merges can reach.
+
+        No more candidates come up than merges and skips before; and a skip needs a new pair, of
+        which each merge makes two.
+        """
+        found, at, room, gaps = 0, 0, merges, self.gaps
+        while True:
+            gap = bisect_right(gaps, key >> 32)
+            at += gap
+            if at >= room:
+                return found
+            if gap < len(gaps):
+                found |= 1 << at
+                at, room = at + 1, min(room + 1, 4 * merges)
+            key = _mix(key + 0x9E3779B97F4A7C15 & _MASK)
 
     def segment(self, unit: str, key: int | None) -> list[str]:
         """Pieces of one unit; no merge is skipped without a key.
@@ -76,33 +114,42 @@ class Codec:
         """
         if len(unit) > 40:
             return self._segment_long(unit, key)
-        get, none, limited = self.rank.get, self.none, key is not None and self.limit > 0
-        symbols, places = list(unit), list(range(len(unit)))
+        return self._segment_short(unit, self._skipped(len(unit) - 1, key) if key is not None and self.limit else 0)[0]
+
+    def _segment_short(self, unit: str, skipped: int) -> tuple[list[str], int]:
+        """Pieces, and how many candidates came up."""
+        get, none, came = self.rank.get, self.none, 0
+        symbols = list(unit)
         agenda = [get(unit[i : i + 2], none) for i in range(len(unit) - 1)]
         while agenda and (r := min(agenda)) < none:
             i = agenda.index(r)
-            if limited and self._skips(key, r, places[i]):
+            came += 1
+            if skipped >> came - 1 & 1:
                 agenda[i] = none
                 continue
             p = symbols[i] = symbols[i] + symbols.pop(i + 1)
-            places.pop(i + 1)
             agenda.pop(i)
             if i < len(agenda):
                 agenda[i] = get(p + symbols[i + 1], none)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + p, none)
-        return symbols
+        return symbols, came
 
     def _segment_long(self, unit: str, key: int | None) -> list[str]:
         symbols: list[str | None] = list(unit)
-        n, rank, limited = len(symbols), self.rank, key is not None and self.limit > 0
+        n, rank, came, skips = len(symbols), self.rank, 0, self._skips(key)
+        skip = next(skips)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, p) for i, p in enumerate(map("".join, zip(unit, unit[1:], strict=False))) if (r := rank.get(p)) is not None]
         heapq.heapify(agenda)
         while agenda:
             r, i, p = heapq.heappop(agenda)
             j = right[i]
-            if symbols[i] is None or j >= n or symbols[i] + symbols[j] != p or limited and self._skips(key, r, i):
+            if symbols[i] is None or j >= n or symbols[i] + symbols[j] != p:
+                continue
+            came += 1
+            if came - 1 == skip:
+                skip = next(skips)
                 continue
             symbols[i], symbols[j] = p, None
             k = right[i] = right[j]
@@ -115,14 +162,19 @@ class Codec:
                 heapq.heappush(agenda, (s, h, q))
         return [s for s in symbols if s is not None]
 
-    def _unit(self, unit: str, variant: int) -> bytes:
-        kept = self.kept[variant]
-        if (found := kept.get(unit)) is None:
-            if len(kept) >= self.most // self.variants:
-                kept.clear()
-            found = self._ids(self.segment(unit, self.keys[variant] if self.limit else None))
-            if len(unit) <= 64:
-                kept[unit] = found
+    def _unit(self, unit: str, key: int) -> bytes:
+        if len(unit) > 40:
+            return self._ids(self.segment(unit, key))
+        if not (skipped := self._skipped(len(unit) - 1, key) if self.limit else 0):
+            if len(self.plain) >= self.most // 2:
+                self.plain.clear()
+            symbols, came = self._segment_short(unit, 0)
+            # an occurrence whose first draw is no less than this skips nothing
+            found, _ = self.plain[unit] = self._ids(symbols), self.gaps[came - 1] if came else 0
+        elif (found := self.kept.get((unit, skipped))) is None:
+            if len(self.kept) >= self.most // 2:
+                self.kept.clear()
+            found = self.kept[unit, skipped] = self._ids(self._segment_short(unit, skipped)[0])
         return found
 
     def encode(self, text: str, doc_key: int = 0) -> bytes:
@@ -130,13 +182,14 @@ class Codec:
         if not text:
             return b""
         out: list[bytes] = []
-        state, variants, one = doc_key & _MASK, self.variants if self.limit else 1, self._unit
+        state, known, one, add, unknown = _mix(doc_key & _MASK) ^ self.keys[0], self.plain.get, self._unit, out.append, (b"", 1 << 32)
         for n, part in enumerate(text.split(SPACE)):  # a space sign of the text's own is written in bytes
             if n:
-                out.append(array("I", [self.bytes[b] for b in SPACE.encode()]).tobytes())
+                add(array("I", [self.bytes[b] for b in SPACE.encode()]).tobytes())
             for unit in self.units.findall(("" if n else SPACE) + part.replace(" ", SPACE)):
                 state = state * 0x5851F42D4C957F2D + 0x14057B7EF767814F & _MASK
-                out.append(one(unit, (state >> 33) % variants))
+                ids, least = known(unit, unknown)
+                add(ids if state >> 32 >= least else one(unit, state))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

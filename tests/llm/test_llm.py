@@ -385,6 +385,34 @@ def test_segmentations_decode_and_equal_the_library(spark, docs, awkward):
     assert sum(map(ord, "".join(pieces.Codec(q.PIECES, dropout=1.0).segment("▁hello", 1)))) == sum(map(ord, "▁hello"))
 
 
+def test_every_occurrence_draws_its_own_skips():
+    from collections import Counter
+
+    codec, draw = pieces.Codec(q.PIECES, dropout=0.1), random.Random(1).random
+
+    def twin(unit):  # the agenda as it is defined, with a fresh random number for each candidate
+        s, gone = list(unit), set()
+        while best := min(((codec.rank[p], i) for i, p in enumerate(map("".join, zip(s, s[1:], strict=False))) if p in codec.rank and (i, p) not in gone), default=None):
+            i = best[1]
+            if draw() < 0.1:
+                gone.add((i, s[i] + s[i + 1]))
+            else:
+                s[i : i + 2] = [s[i] + s[i + 1]]
+                gone = {(j - (j > i), p) for j, p in gone if abs(j - i) > 1}
+        return tuple(s)
+
+    ids = [codec.encode("international", i) for i in range(4000)]
+    got = Counter(tuple(codec.text[i].decode().replace(" ", pieces.SPACE) for i in array.array("I", x)) for x in ids)
+    want = Counter(twin("▁international") for _ in range(4000))
+    assert len(got) > 10 and {codec.decode(x) for x in ids} == {"international"}
+    assert all(abs(got[k] - n) < 6 * n**0.5 for k, n in want.most_common(8))
+    again = codec.encode("international " * 4000, 7)  # one document that repeats it: draws of the same kind
+    assert abs(len(again) / sum(map(len, ids)) - 1) < 0.05
+    # what is kept makes no difference
+    few, many = (pieces.Codec(q.PIECES, dropout=0.1, most=m).encode("international internet " * 50, 9) for m in (2, 400_000))
+    assert few == many == codec.encode("international internet " * 50, 9)
+
+
 def test_licenses(spark, docs, awkward):
     model = licenses.train(docs)
     rows = [(1, "Some words here.\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, "x " * 300 + "This work is licensed under the GNU General Public License, version 3. " + "y " * 300), (4, "Licensed under CC BY-NC 4.0."), (5, "the license plate of an apache helicopter"), (6, None), (7, ""), (8, "permission was granted, free of charge")]
