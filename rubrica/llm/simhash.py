@@ -54,13 +54,13 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def sketches(docs: DataFrame, *, width: int = 3, seed: int = 42, words: int = 1, anchors: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, *, width: int = 3, seed: int = 42, words: int = 1, anchors: int = 0, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp array of `words` longs, anchors array of longs) for every row of docs.
 
     A bit is 1 if it is set in over half of the shingle hashes; word 0 uses the XXH64 values
     themselves, word k values mixed from them. Anchors are minima of differently mixed hashes: two
-    texts share one with a probability that is their Jaccard similarity. Null and empty texts have
-    a zero fingerprint and the anchor 0.
+    texts share one with a probability that is their Jaccard similarity. distinct: a shingle that
+    repeats counts once. Null and empty texts have a zero fingerprint and the anchor 0.
     """
 
     @F.pandas_udf("fp array<bigint>, anchors array<bigint>")
@@ -68,6 +68,8 @@ def sketches(docs: DataFrame, *, width: int = 3, seed: int = 42, words: int = 1,
         fps, mins = [], []
         for text in texts:
             h = shingle_hashes(text, width, seed)
+            if distinct:
+                h = np.unique(h)
             if not len(h):
                 fps.append([0] * words)
                 mins.append([0] * anchors)
@@ -319,17 +321,22 @@ def _compare(radius: int, least: float):
     return run
 
 
-def links_in_blocks(nodes: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
+def links_in_blocks(nodes: DataFrame, radius: int, least: float = 0.0, sets: DataFrame | None = None) -> DataFrame:
     """nodes(node long, fp, keys array<struct<t, key>>) -> (a, b): links that join all nodes which
     meet in a block within the radius, directly or through others of that block.
 
-    With a column shingles (distinct longs) a link also needs a Jaccard similarity of `least`. A
-    block of over PIECE rows is dealt out whole: its rows fall into pieces by hash, and every two
+    With sets(node, shingles: distinct longs) a link also needs a Jaccard similarity of `least`;
+    sets join last, and of blocks with the same nodes only one is compared. A block of over PIECE rows is dealt out whole: its rows fall into pieces by hash, and every two
     pieces (and each with itself) meet in a task of their own.
     """
     payload = [c for c in nodes.columns if c != "keys"]
     rows = nodes.select(*payload, F.explode("keys").alias("k")).select(*payload, "k.t", "k.key")
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    if sets is None:
+        sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    else:
+        members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), *members).where("size > 1")
+        sizes = sizes.groupBy("size", "x1", "x2").agg(F.min(F.struct("t", "key")).alias("k")).select("k.t", "k.key", "size")
     sizes = cut(sizes)  # both sides of the join are plain exchanges then, and a hot block can be split
     rows = rows.join(sizes, ["t", "key"])
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
@@ -339,20 +346,21 @@ def links_in_blocks(nodes: DataFrame, radius: int, least: float = 0.0) -> DataFr
         F.when(F.col("mine") == j, -1).when(F.col("mine") < j, 0).otherwise(1).alias("side")))
     rows = rows.withColumn("pieces", pieces).withColumn("mine", mine).withColumn("met", F.explode(met))
     rows = rows.select("t", "key", F.col("met.pair").alias("pair"), F.col("met.side").alias("side"), *payload)
+    if sets is not None:
+        rows = rows.join(sets, "node")
     rows = rows.repartition("t", "key", "pair").sortWithinPartitions("t", "key", "pair")
     return rows.mapInPandas(_compare(radius, least), "a bigint, b bigint").distinct()
 
 
-def _with_shingles(docs: DataFrame, linked: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """linked(node, fp, anchors, keys) with the distinct shingles of the text behind each."""
+def _shingles(docs: DataFrame, linked: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles): the distinct shingles of the text behind each node of linked."""
 
     @F.pandas_udf("array<bigint>")
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, width, seed)).view(np.int64) for t in texts], dtype=object)
 
     wanted = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("__text")).join(linked.select("node"), "node", "left_semi")
-    sets = wanted.select("node", made("__text").alias("shingles")).dropDuplicates(["node"])
-    return linked.join(sets, "node")
+    return wanted.select("node", made("__text").alias("shingles")).dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words: int = 1, anchors: int = 0, seed: int = 42, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,15 +371,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words:
     link is lost (words must be 1). With anchors > 0 a link is found if the two shingle sets share
     one of so many minima, with probability 1 - (1 - J) ** anchors at Jaccard similarity J.
 
-    least: links also need this exact Jaccard similarity of the shingle sets. Then the search runs
-    twice: first by fingerprints alone, which leaves few rows, and again over those with their sets.
+    least: links also need this exact Jaccard similarity of the shingle sets, and the fingerprints
+    are made of these sets, so that repeats within a text do not matter. Then the search runs twice:
+    first by fingerprints alone, which leaves few rows, and again over those with their sets.
 
     Null and empty texts have the fingerprint 0 and link like any others. Rows that repeat an id
     each have a row (with `least`, one of their texts speaks for all); a null id keeps its row and
     never names a component unless all of its group are null (then component_id is null). Columns of
     docs other than the two named are not read. An empty table gives an empty result.
     """
-    made = cut(sketches(docs, width=width, seed=seed, words=words, anchors=anchors, id_col=id_col, text_col=text_col))
+    made = cut(sketches(docs, width=width, seed=seed, words=words, anchors=anchors, distinct=least is not None, id_col=id_col, text_col=text_col))
     nodes = made.groupBy("fp", "anchors").agg(F.min("__id").alias("node"))
     real = nodes.where("node is not null")
     if anchors:
@@ -385,7 +394,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words:
     if least is not None:
         links = cut(links)
         linked = blocked.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        links = links_in_blocks(_with_shingles(docs, linked, width, seed, id_col, text_col), radius, least)
+        links = links_in_blocks(linked, radius, least, _shingles(docs, linked, width, seed, id_col, text_col))
     roots = connected(links)
     named = nodes.join(roots, "node", "left").select("fp", "anchors", F.coalesce("root", "node").alias("component_id"))
     return made.join(named, ["fp", "anchors"], "left").select(F.col("__id").alias(id_col), "fp", "component_id")

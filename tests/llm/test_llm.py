@@ -423,6 +423,22 @@ def test_licenses(spark, docs, awkward):
 
 # ---- pipeline
 
+def test_near_stage_finds_repeats_and_short_texts(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(30):  # a passage once and ten times: all but 4 of over 200 distinct shingles are common
+        body, passage = some(160), some(44)
+        rows += [(2 * k, " ".join(body + passage)), (2 * k + 1, " ".join(body + passage * 10))]
+    for k in range(30, 1530):  # 8 and 9 words: 4 of 5 shingles
+        words = some(9)
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    kept = {x.doc_id for x in corpus_pipeline.near_stage(spark, table(spark, rows), SF).select("doc_id").collect()}
+    assert kept == {2 * k for k in range(1530)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
