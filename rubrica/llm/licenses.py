@@ -105,27 +105,36 @@ def _pairs(text: str) -> list[str]:
 
 
 class LicenseModel:
-    """classes (the last is UNKNOWN), weights per n-gram, bias per class, heat, and words that any
-    n-gram with a weight holds: a paragraph without one of them is UNKNOWN for certain."""
+    """classes (the last is UNKNOWN), weights per n-gram, bias per class, heat.
+
+    No family can win in a paragraph whose n-grams' leads (most that each adds to a family over
+    UNKNOWN) do not add up to `least`. levels: (lead, n-grams with this lead or less, down to the next
+    level); words: of each n-gram outside the faintest, which together stay below least, one word.
+    """
 
     def __init__(self, classes, grams, weights, bias, heat):
         self.classes, self.grams, self.weights, self.bias, self.heat = classes, grams, weights, bias, heat
-        self.words = sorted({max(g.split(), key=lambda w: (w in grams, len(w), w)) for g in grams})
+        self.least = float((bias[-1] - bias[:-1]).min()) - 1e-6
+        lead = np.maximum(0, (weights[:, :-1] - weights[:, -1:]).max(1, initial=0)) if len(grams) else np.zeros(0)
+        order = np.argsort(lead, kind="stable")
+        faint = int((np.cumsum(lead[order]) < self.least).sum())
+        self.words = sorted({max(grams[i].split(), key=lambda w: (w in grams, len(w), w)) for i in order[faint:]})
+        self.levels = [(float(lead[x].max()), [grams[i] for i in x]) for x in np.array_split(order[lead[order] > 0], 8) if len(x)]
 
 
 def fit(negatives: list[str], *, seed: int = 5, copies: int = 40, rounds: int = 200, rate: float = 0.5, l1: float = 2e-4) -> LicenseModel:
     """Learns from noisy copies of the templates against `negatives`, OTHERS and shuffled templates.
 
-    n-grams that negatives hold too are no features, nor are pairs without a word of their own.
+    Every n-gram of a template is a feature, and the weights alone decide what it says. Negatives
+    that look like a piece of a template, as a line of a wrapped notice does, are left out.
     Every fifth example is kept out of training and sets the heat, by which logits are divided.
     """
     rng = np.random.default_rng(seed)
     classes = [*TEMPLATES, UNKNOWN]
     covered = [frozenset(_pairs(t)) for ts in TEMPLATES.values() for t in ts]
-    clean = [n for n in negatives if not any(len(c & set(_pairs(n))) >= 0.5 * len(c) for c in covered)]
+    clean = [n for n in negatives if (own := set(_pairs(n))) and not any(len(c & own) >= min(0.5 * len(c), max(3, 0.3 * len(own))) for c in covered)]
     common = {w for n in clean for w in _WORD.findall(n.lower())}
-    own = {w for ts in TEMPLATES.values() for t in ts for w in _WORD.findall(t.lower())} - common
-    grams = sorted(g for g in {g for ts in TEMPLATES.values() for t in ts for g in _grams(t)} if set(g.split()) & own)
+    grams = sorted({g for ts in TEMPLATES.values() for t in ts for g in _grams(t)})
     index = {g: i for i, g in enumerate(grams)}
     filler = sorted(common) or ["x"]
     some = lambda words, n: [words[i] for i in rng.integers(0, len(words), n)]
@@ -138,7 +147,7 @@ def fit(negatives: list[str], *, seed: int = 5, copies: int = 40, rounds: int =
                 around = some(filler, int(rng.integers(0, 6)) * (c > 0))
                 texts.append(" ".join([*around[:3], *kept, *around[3:]]))
                 y.append(k)
-    for n in [*clean[:400], *OTHERS * 5]:  # paragraphs of the corpus have no feature left: a few will do
+    for n in [*clean, *OTHERS * 5]:
         texts.append(n)
         y.append(len(classes) - 1)
     for t in [t for ts in TEMPLATES.values() for t in ts] * 4:  # single words of licenses, out of order and few
@@ -150,7 +159,9 @@ def fit(negatives: list[str], *, seed: int = 5, copies: int = 40, rounds: int =
     y = np.array(y)
     held = np.arange(len(y)) % 5 == 4
     share = np.bincount(y[~held], minlength=len(classes))
-    weight = ((~held).sum() / np.maximum(1, share * len(classes)))[y][:, None].astype(np.float32)
+    each = (~held).sum() / np.maximum(1, share * len(classes))
+    each[-1] = max(1.0, each[-1])  # negatives are real text: each counts in full
+    weight = each[y][:, None].astype(np.float32)
     w, b = np.zeros((len(grams), len(classes)), np.float32), np.zeros(len(classes), np.float32)
     xt, yt, wt = x[~held], y[~held], weight[~held]
     for _ in range(rounds):
@@ -204,6 +215,9 @@ def scan(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id", text_c
     units = units.withColumn("words", _words(F.col("unit"))).where(F.arrays_overlap("words", known)).drop("unit")
     pairs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("words", i + 1)))
     units = units.withColumn("pairs", F.when(F.size("words") > 1, F.array_distinct(pairs)).otherwise(F.col("words")))
+    held = F.array_distinct(F.concat("words", "pairs"))
+    most = sum((F.size(F.array_intersect("held", F.array(*map(F.lit, grams)))) * lead for lead, grams in model.levels), F.lit(0.0))
+    units = units.withColumn("held", held).where(most >= model.least).drop("held")
     units = cut(units.dropDuplicates(["__row", "paragraph"]))  # few, and used twice below
     count = len(model.classes)
     table = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, " + ", ".join(f"w{k} double" for k in range(count)))

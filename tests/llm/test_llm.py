@@ -421,6 +421,17 @@ def test_licenses(spark, docs, awkward):
     assert licenses.scan(awkward, model).count() == 13 and licenses.scan(awkward.limit(0), model).count() == 0
 
 
+def test_a_sample_does_not_delete_words_of_licenses(spark):
+    plain = ["The license of the software is a public version.", "They modify the apache source code under the terms of use.", "An MIT or BSD work is released, redistributed and governed.", "The general public obtains a copy, free of charge.", "Creative commons attribution 4 0 3 2 1 and the mozilla form.", "Lesser affero gnu programs in the library, by or later."]
+    header = ["it under the terms of the GNU General Public License as published by"]
+    model = licenses.fit((plain + header) * 10 + [f"an ordinary line of text {k}" for k in range(200)])
+    rows = [(k, t) for k, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
+    families = [f for f, ts in licenses.TEMPLATES.items() for _ in ts]
+    got = {r.doc_id: {f.family for f in r.findings if f.confirmed} for r in licenses.scan(table(spark, rows + [(1000 + k, t) for k, t in enumerate(plain)]), model).collect()}
+    assert all(families[k] in got[k] for k, _ in rows), got
+    assert not any(got[1000 + k] for k in range(len(plain)))
+
+
 # ---- pipeline
 
 def test_near_stage_finds_repeats_and_short_texts(spark):
