@@ -771,7 +771,7 @@ def strict_class_metrics(spark, d):
 def file_listing(spark, d):
     from rubrica.sources.files import list_files
 
-    found = list_files(spark, d, without="lineitem|documents|pages|embeddings")
+    found = list_files(spark, d)
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "bytes", "sha256")
 
 

@@ -51,11 +51,24 @@ def _whole(spark: SparkSession, path: str) -> str:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]).decode("utf-8-sig")
 
 
-def list_files(spark: SparkSession, path: str, *, without: str | None = None) -> DataFrame:
-    """(path, bytes, sha256) of all files below a folder but those whose path matches `without`."""
+def list_files(spark: SparkSession, path: str, *, without: str | None = None, most: int = 1 << 26) -> DataFrame:
+    """(path, bytes, sha256) of all files below a folder but those whose path matches `without`.
+
+    Files of over `most` bytes are too large for a row; they are hashed as streams, one by one.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     found = files.where(~F.col("path").rlike(without)) if without else files
-    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    large = []
+    for r in found.where(F.col("length") > most).select("path", "length").collect():
+        at = jvm.org.apache.hadoop.fs.Path(r.path)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            large.append((r.path, r.length, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    small = found.where(F.col("length") <= most).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return small.unionAll(spark.createDataFrame(large, "path string, bytes bigint, sha256 string"))
 
 
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

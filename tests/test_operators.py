@@ -221,3 +221,16 @@ def test_predictions_need_the_same_ids(spark):
     assert got.where("schema_valid").count() == 3
     with pytest.raises(ValueError, match="differ in ids"):
         evaluation.judged(ref, pred.where("id <> '3'"), "id")
+
+
+def test_file_listing_holds_every_file(spark):
+    import hashlib
+    from pathlib import Path
+
+    from rubrica.plans.queries import file_listing
+    from rubrica.sources.files import list_files
+
+    want = {(p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path("/root/testdata/sf0.001").rglob("*.parquet")}
+    assert {tuple(r) for r in file_listing(spark, "/root/testdata/sf0.001").collect()} == want
+    streamed = list_files(spark, "/root/testdata/sf0.001", most=10_000).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.bytes, r.sha256) for r in streamed} == want
