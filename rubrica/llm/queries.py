@@ -76,7 +76,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.filter("findings", lambda x: x.confirmed)
     return found.select(
         "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x.family))), ",").alias("licenses"), F.size(sure).cast("bigint").alias("n_confirmed"), F.size("findings").cast("bigint").alias("n_predicted"),
-        F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x.paragraph.cast("string"), x.family, F.round(x.probability, 4).cast("string"))), ",").alias("paragraphs"))
+        F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x.paragraph.cast("string"), x.part.cast("string"), x.family, F.round(x.probability, 4).cast("string"))), ",").alias("paragraphs"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
