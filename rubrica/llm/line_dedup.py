@@ -27,39 +27,42 @@ def _hash(key: Column) -> Column:
 
 
 def _flagged(docs: DataFrame, threshold: int, least_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with __text, __gone (sorted numbers of the lines to drop, null if none) and __stay."""
-    rows = docs.withColumns({"__id": F.col(id_col), "__text": F.coalesce(F.col(text_col), F.lit(""))})
-    # xxhash64 of id and text names a row: rows that repeat both get equal flags
-    rows = rows.withColumn("__row", F.xxhash64("__id", "__text"))
-    keys = F.transform(F.split(lower_ascii(F.col("__text")), "\n"), stripped)
+    """(id, text, whole: struct of all columns of docs, gone: sorted numbers of the lines to drop, null
+    if none, stay: a flag for each line)."""
+    id_, text = F.col(f"whole.`{id_col}`"), F.coalesce(F.col(f"whole.`{text_col}`"), F.lit(""))
+    # 128 bits of id and text name a row: rows that repeat both get equal flags
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    rows = rows.select("whole", F.xxhash64(id_, text).alias("r1"), F.xxhash64(F.lit(7), id_, text).alias("r2"))
+    keys = F.transform(F.split(lower_ascii(text), "\n"), stripped)
     keys = F.transform(keys, lambda k: F.when(F.length(k) >= least_chars, _hash(k)))
     # hashed once, for both uses below
-    hashed = rows.select(F.coalesce("__id", F.lit((1 << 63) - 1)).alias("id_rank"), "__row", keys.alias("keys"))
-    hashed = cut(hashed.where(F.exists("keys", lambda k: k.isNotNull())).select("id_rank", "__row", F.col("keys.a").alias("a"), F.col("keys.b").alias("b")))
-    lines = hashed.select("id_rank", "__row", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "k")).where("k.a is not null").select("id_rank", "__row", "pos", "k.a", "k.b")
+    hashed = rows.select(id_.alias("id"), "r1", "r2", keys.alias("keys")).where(F.exists("keys", lambda k: k.isNotNull()))
+    hashed = cut(hashed.select("id", "r1", "r2", F.col("keys.a").alias("a"), F.col("keys.b").alias("b")))
+    lines = hashed.select("id", "r1", "r2", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "k")).where("k.a is not null").select("id", "r1", "r2", "pos", "k.a", "k.b")
+    nulls = F.max(F.col("id").isNull()).alias("nulls")
     if threshold > 2:  # repeats of an id are one document, so pairs of key and id are made distinct before they count
-        owners = lines.groupBy("a", "b", "id_rank").agg(F.lit(1).alias("one"))
-        owners = owners.groupBy("a", "b").agg(F.count("one").alias("n"), F.min("id_rank").alias("owner")).where(F.col("n") >= threshold)
-    else:  # two documents hold a key exactly if its least and greatest ids differ
-        owners = lines.groupBy("a", "b").agg(F.min("id_rank").alias("owner"), F.max("id_rank").alias("other")).where("owner < other")
+        owners = lines.groupBy("a", "b", "id").agg(F.lit(1).alias("one"))
+        owners = owners.groupBy("a", "b").agg(F.count("one").alias("n"), F.min("id").alias("owner")).where(F.col("n") >= threshold)
+    else:  # a key has two documents or more exactly if its least and greatest ids differ, or a null id comes to another
+        owners = lines.groupBy("a", "b").agg(F.min("id").alias("owner"), F.max("id").alias("other"), nulls).where("owner < other or (nulls and owner is not null)")
     # written, so that both sides of the join are plain exchanges, of which a very common line can be split
     owners = cut(owners.select("a", "b", "owner"))
-    drops = lines.join(owners, ["a", "b"]).where("id_rank <> owner")
-    drops = drops.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
-    joined = rows.join(drops.hint("shuffle_hash"), "__row", "left")
-    split = F.split("__text", "\n")
+    drops = lines.join(owners, ["a", "b"]).where("id is null or id <> owner")
+    drops = drops.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    joined = rows.join(drops, ["r1", "r2"], "left").select("whole", "gone", id_.alias("id"), text.alias("text"))
+    split = F.split("text", "\n")
     # the flags of the lines, by one walk over the sorted positions: gaps become runs of true
     flags = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size("__gone")),
+        F.sequence(F.lit(0), F.size("gone")),
         lambda i: F.concat(
-            F.array_repeat(F.lit(True), F.coalesce(F.get("__gone", i), F.size(split)) - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1),
-            F.when(i < F.size("__gone"), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    return joined.withColumn("__stay", flags)
+            F.array_repeat(F.lit(True), F.coalesce(F.get("gone", i), F.size(split)) - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1),
+            F.when(i < F.size("gone"), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
+    return joined.withColumn("stay", flags)
 
 
 def _kept() -> Column:
-    kept = F.array_join(F.filter(F.split("__text", "\n"), lambda x, i: F.get("__stay", i)), "\n")
-    return F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept)
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.get("stay", i)), "\n")
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
 
 
 def drop_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,20 +71,22 @@ def drop_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int
     A text splits at \\n; null and empty texts are one empty line. A line's key is the line without
     blanks at its ends, A-Z lower-cased. Keys of `least_chars` or more code points in `threshold` or
     more documents lose all their lines but those of the smallest id; the other lines stay in order.
-    Rows that share an id count as one document for the keys and keep a row each. A null id is
-    greater than any other and is one document. Only the two named columns are read, so others of
-    any name do no harm. An empty table gives an empty result.
+    Ids may be of any type that has an order. Rows that share an id count as one document for the
+    keys and keep a row each. Null ids are one document, greater than any other. Only the two named
+    columns are read, so others of any name do no harm. An empty table gives an empty result.
 
     Lines travel as hashes; the whole texts are dealt out once, beside the numbers of the lines that
     go. A line that very many documents hold is summed before the shuffle and then is a skewed join,
     which adaptive execution splits.
     """
     judged = _flagged(docs.select(id_col, text_col), threshold, least_chars, id_col, text_col)
-    gone = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
-    return judged.select(F.col("__id").alias(id_col), F.size(F.split("__text", "\n")).cast("bigint").alias("n_lines"), gone.alias("n_dropped"), _kept().alias("kept_text"))
+    gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")
+    return judged.select(F.col("id").alias(id_col), F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), gone.alias("n_dropped"), _kept().alias("kept_text"))
 
 
 def without_repeated_lines(docs: DataFrame, *, threshold: int = 2, least_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines dropped that `drop_repeated_lines` drops; all rows and columns stay, null texts null."""
-    judged = _flagged(docs, threshold, least_chars, id_col, text_col)
-    return judged.withColumn(text_col, F.when(F.col(text_col).isNotNull(), _kept())).select(docs.columns)
+    """docs with the lines dropped that `drop_repeated_lines` drops; all rows and columns stay, of any
+    names, null texts null."""
+    judged = _flagged(docs, threshold, least_chars, id_col, text_col).withColumn("kept", _kept())
+    text = F.when(F.col(f"whole.`{text_col}`").isNotNull(), F.col("kept"))
+    return judged.select(*[(text if c == text_col else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
