@@ -7,6 +7,7 @@ are then dealt into random groups of bounded size, and each group is packed by i
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import sys
@@ -20,16 +21,25 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 LENGTH = 4096
-#: Documents whose pieces make up a group, about.
-GROUP = 2048
+#: Characters of texts whose pieces make up a group, about (some 2 million ids, 8 MB).
+GROUP = 1 << 23
 #: Words and parts whose ids one worker keeps; the store starts anew beyond that.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 #: Documents that a worker handles at a time.
 SLICE = 256
 
 #: Texts of these characters alone are the same in NFC, and white space always ends a word in them.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r -~¡-įı-ňŊ-ž]")
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: The rules of the vocabulary that WordStore knows by heart. With any other the
+#: tokenizer itself does the work.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
 
 
 #: What the vocabulary's own rules make of a lower-cased word of such characters.
@@ -46,14 +56,17 @@ def _byte_letters() -> dict[int, str]:
 class WordStore(dict):
     """Ids of words and of their parts as bytes (little-endian, 32 bits each), made on demand.
 
-    The vocabulary's rules never look across white space, so a text's ids are those of its words,
-    and a word's ids are those of its parts.
+    Where a vocabulary has _RULES, these never look across white space, so a text's ids are those of
+    its words, and a word's ids are those of its parts. Any other vocabulary is asked for whole texts.
     """
 
     def __init__(self, path: str, most: int = MOST_WORDS):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.most, self.letters = self.tokenizer.model, most, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.known = all(rules.get(k) == v for k, v in _RULES.items()) and {t["content"] for t in rules["added_tokens"]} == set(_SPECIAL) and rules["model"].get("dropout") is None
 
     def __missing__(self, word: str) -> bytes:
         parts = _PARTS.findall(word)
@@ -71,7 +84,7 @@ class WordStore(dict):
             return b""
         if len(self) > self.most:
             self.clear()
-        if _PLAIN.search(text) is None and not any(s in text for s in _SPECIAL):
+        if self.known and _PLAIN.search(text) is None and not any(s in text for s in _SPECIAL):
             return b"".join(map(self.__getitem__, text.lower().split()))
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -94,7 +107,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, length: int
     """(id, start, length, ids binary, doc_tokens): each text's ids and end_id, cut every `length` ids.
 
     ids are little-endian unsigned 32-bit numbers. Null texts count as empty and have the end id
-    alone. Rows that repeat an id are cut each by itself; a null id stays null.
+    alone. Rows that repeat an id are cut each by itself; a null id stays null. Only the two named
+    columns are read. An empty table gives an empty result.
     """
     size = 4 * length
 
@@ -153,27 +167,36 @@ def first_fit_decreasing(sizes: list[int], length: int) -> list[tuple[int, int]]
     return out
 
 
-def groups_for(docs: DataFrame, group: int = GROUP) -> int:
-    """How many groups to deal the pieces of docs into."""
-    return max(1, round(docs.count() / group))
+def groups_for(docs: DataFrame, group: int = GROUP, *, text_col: str = "text") -> int:
+    """How many groups to deal the pieces of docs into: one for each `group` characters, 1 at least."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(text_col).cast("bigint") + 1), F.lit(0))).first()[0]
+    return max(1, round(chars / group))
 
 
 def pack(made: DataFrame, groups: int, *, length: int = LENGTH, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """Pieces with sequence_id and offset; all rows and columns of `made` stay.
-
-    made has the columns id, start, length and whatever else is to travel. Pieces go to random
-    groups by a hash of id and start, and a group's pieces are taken by falling length, then id and
-    start. A sequence's pieces follow each other without gaps; sequence_id is unique over all
-    groups, and rows of equal id and start are packed each.
+    """Pieces with sequence_id and offset; all rows and other columns of `made` stay (columns that have
+    these two names are replaced).
+
+    made has the columns id, start, length and whatever else is to travel. Documents go to random
+    groups by a hash of their ids; their full pieces, which fill a sequence each and need no partner,
+    by a hash of id and start, so that a very long document is no group by itself. Null ids, which
+    nothing tells apart, go to a group by a seeded random number. A group's pieces are taken by falling
+    length, then id and start. A sequence's pieces follow each other without gaps; sequence_id is
+    unique over all groups, and rows of equal id and start are packed each. An empty table gives an
+    empty result.
     """
     # ids travel as text through pandas, where a null would turn the others into floats
-    kind = made.schema[id_col].dataType
-    dealt = made.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("start")), F.lit(groups))).withColumn(id_col, F.col(id_col).cast("string"))
-    schema = T.StructType([f for f in dealt.schema.fields if f.name != "__group"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    kind, made = made.schema[id_col].dataType, made.drop("sequence_id", "offset")
+    full = F.when(F.col("length") >= length, F.col("start")).otherwise(-1)
+    group = F.when(F.col(id_col).isNull(), F.floor(F.rand(seed) * groups)).otherwise(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), full), F.lit(groups)))
+    wide = made.select(group.alias("group"), *[(F.col(f"`{c}`").cast("string") if c == id_col else F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(made.columns)])
+    at = {c: f"_{i}" for i, c in enumerate(made.columns)}
+    schema = T.StructType([f for f in wide.schema.fields if f.name != "group"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def solve(key, frame):
-        frame = frame.drop(columns="__group").sort_values([id_col, "start"], kind="stable")
-        placed = first_fit_decreasing([int(x) for x in frame["length"]], length)
+        frame = frame.drop(columns="group").sort_values([at[id_col], at["start"]], kind="stable")
+        placed = first_fit_decreasing([int(x) for x in frame[at["length"]]], length)
         return frame.assign(sequence_id=[(int(key[0]) << 32) + b for b, _ in placed], offset=[o for _, o in placed])
 
-    return dealt.groupBy("__group").applyInPandas(solve, schema).withColumn(id_col, F.col(id_col).cast(kind))
+    packed = wide.groupBy("group").applyInPandas(solve, schema)
+    return packed.select(*[(F.col(at[c]).cast(kind) if c == id_col else F.col(at[c])).alias(c) for c in made.columns], "sequence_id", "offset")
