@@ -67,7 +67,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         merkle.as_text(F.col("tree")).alias("fingerprint"), merkle.as_text(F.col("edited_tree")).alias("edited_fingerprint"),
-        merkle.likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"), merkle.likeness(F.col("tree"), F.col("next_tree")).alias("near_next"))
+        merkle.likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"), merkle.likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        F.array_join(merkle.changed_paragraphs(F.col("tree"), F.col("edited_tree")).cast("array<string>"), ",").alias("changed"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
