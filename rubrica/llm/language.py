@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from rubrica.llm.common import held_out
 
 DIM_BUCKETS = 1 << 14
-#: Most documents of each language that a model learns from, and most bytes of each of them.
-MOST_DOCS, MOST_BYTES = 600, 1_000_000
-#: Languages that are told apart, at most: the most frequent ones.
-MOST_LANGUAGES = 1000
+#: Most documents that a model learns from: of each language, and in all (each language then gets an
+#: equal share).
+MOST_DOCS, MOST_DOCS_IN_ALL = 600, 24_000
 LETTER = re.compile(r"[^\W\d_]")
 _NOISE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -76,14 +75,32 @@ class LanguageModel:
         return self.names[k], float(p[k]), bool(p[k] < self.reject_below)
 
 
-def fit(counts: np.ndarray, y: np.ndarray, names: list[str], *, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 32, seed: int = 7) -> LanguageModel:
-    """SGD over rows of bucket counts. The last fifth of the shuffled rows is kept for calibration."""
+class Counts:
+    """Bucket counts of documents, sparse: of document i columns at[i] with shares share[i]."""
+
+    def __init__(self, at: list[np.ndarray], n: list[np.ndarray]):
+        self.at = at
+        self.share = [x.astype(np.float32) / max(1, x.sum()) for x in n]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def rows(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """The columns that some documents have, and their shares of these as a dense matrix."""
+        cols, where = np.unique(np.concatenate([self.at[i] for i in which]), return_inverse=True)
+        x, k = np.zeros((len(which), len(cols)), np.float32), 0
+        for r, i in enumerate(which):
+            x[r, where[k : k + len(self.at[i])]] = self.share[i]
+            k += len(self.at[i])
+        return cols, x
+
+
+def fit(counts: Counts, y: np.ndarray, names: list[str], *, dim: int = 16, epochs: int = 12, rate: float = 0.5, batch: int = 32, seed: int = 7) -> LanguageModel:
+    """SGD over documents' bucket counts. The last fifth of the shuffled documents is kept for calibration."""
     rng = np.random.default_rng(seed)
     classes = len(names)
     if not classes or not len(y):
         return LanguageModel([], np.zeros((DIM_BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    x = counts.astype(np.float32, copy=False)
-    x /= np.maximum(1, x.sum(1, keepdims=True))
     order = rng.permutation(len(y))
     held = order[: len(order) // 5] if len(order) >= 50 else order[:0]
     learn = order[len(held) :]
@@ -96,9 +113,7 @@ def fit(counts: np.ndarray, y: np.ndarray, names: list[str], *, dim: int = 16, e
         rng.shuffle(learn)
         for at in range(0, len(learn), batch):
             i = learn[at : at + batch]
-            xi = x[i]
-            cols = np.flatnonzero(xi.any(0))
-            xs = xi[:, cols]
+            cols, xs = counts.rows(i)
             hidden = xs @ emb[cols]
             z = hidden @ weights + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -112,7 +127,7 @@ def fit(counts: np.ndarray, y: np.ndarray, names: list[str], *, dim: int = 16, e
     table = (emb @ weights).astype(np.float64)
     model = LanguageModel(names, table, bias.astype(np.float64), 1.0, 0.0)
     if len(held):
-        z = x[held] @ table + model.bias
+        z = np.stack([counts.share[i] @ table[counts.at[i]] for i in held]) + model.bias
         best = np.inf
         for heat in np.geomspace(0.05, 4, 40):
             e = np.exp((z - z.max(1, keepdims=True)) / heat)
@@ -124,22 +139,25 @@ def fit(counts: np.ndarray, y: np.ndarray, names: list[str], *, dim: int = 16, e
     return model
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> LanguageModel:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS, most_in_all: int = MOST_DOCS_IN_ALL) -> LanguageModel:
     """Learns from texts with a language, of rows whose crc32(id as text) mod 3 is not 1.
 
-    Of each language some documents are taken by hashes of their ids, `most_docs` at most, each whole; texts of over `most_bytes` are left for others. The ids that are broadcast and
-    the bucket counts that the driver gets are bounded by that. Without rows every prediction is
-    'und'.
+    Of each language some documents are taken by hashes of their ids, each whole: `most_docs`, or
+    fewer where the languages are so many that these were over `most_in_all`, but one of each. The
+    ids that are broadcast and the bucket counts that the driver gets, which stay sparse, are bounded
+    by that. Without rows every prediction is 'und'.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(id_col).alias("__h"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= most_bytes)
+    rows = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(id_col).alias("__h"), F.col(text_col).alias("__text"))
     # a hash share that leaves about twice as many rows of each language comes first, so that none of
-    # them is ranked whole; the counts are a row for each of at most MOST_LANGUAGES languages
-    counts = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__lang").limit(MOST_LANGUAGES)
-    few = rows.select("__id", "__lang", "__h").join(F.broadcast(counts), "__lang")
-    few = few.where(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 40)).cast("double") * F.col("__n") <= F.lit(2.0 * most_docs * (1 << 40)))
+    # them is ranked whole; the counts are a row for each language
+    counts = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
+    languages = max(1, counts.count())
+    each = max(1, min(most_docs, most_in_all // languages))
+    few = rows.select("__id", "__lang", "__h").join(counts, "__lang")
+    few = few.where(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 40)).cast("double") * F.col("__n") <= F.lit(max(2.0 * each, each + 20.0) * (1 << 40)))
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id")))
-    chosen = ranked.where(F.col("rank") <= most_docs).select("__id", "__lang").distinct()
+    chosen = ranked.where(F.col("rank") <= each).select("__id", "__lang").distinct()
 
     @F.pandas_udf("at binary, n binary")
     def counted(texts: pd.Series) -> pd.DataFrame:
@@ -147,14 +165,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         at = [np.flatnonzero(c) for c in made]
         return pd.DataFrame({"at": [a.astype(np.int32).tobytes() for a in at], "n": [c[a].astype(np.int32).tobytes() for c, a in zip(made, at, strict=True)]})
 
-    found = rows.join(F.broadcast(chosen), ["__id", "__lang"], "left_semi").select(F.col("__h").alias("h"), F.col("__lang").alias("lang"), counted("__text").alias("c"))
+    found = rows.join(F.broadcast(chosen), ["__id", "__lang"], "left_semi").select("__id", F.col("__h").alias("h"), F.col("__lang").alias("lang"), F.xxhash64("__text").alias("t"), counted("__text").alias("c"))
+    found = found.groupBy("__id", "lang", "h").agg(F.min_by("c", "t").alias("c"))  # of rows that share an id one teaches
     got = found.select("h", "lang", "c.at", "c.n").toPandas()
     got = got.sort_values(["lang", "h"], kind="stable")
     names = sorted(set(got["lang"]))
-    x = np.zeros((len(got), DIM_BUCKETS), np.float32)
-    for i, (a, n) in enumerate(zip(got["at"], got["n"], strict=True)):
-        x[i, np.frombuffer(a, np.int32)] = np.frombuffer(n, np.int32)
-    return fit(x, np.array([names.index(v) for v in got["lang"]], int), names)
+    made = Counts([np.frombuffer(a, np.int32) for a in got["at"]], [np.frombuffer(n, np.int32) for n in got["n"]])
+    place = {v: i for i, v in enumerate(names)}
+    return fit(made, np.array([place[v] for v in got["lang"]], int), names)
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

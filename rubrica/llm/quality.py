@@ -162,13 +162,19 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Of these rows at most `most_rows` are taken, by the order of a hash of their ids; that bound is
     what may be broadcast and what the driver gets (17 numbers a row). Null labels and ids, and
-    labels other than 0 and 1, teach nothing; of labels that repeat an id the least counts.
+    labels other than 0 and 1, teach nothing; of labels that repeat an id the least counts, and of
+    documents that do one teaches.
     """
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = chosen.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    got = rows.select("__id", "__y", features("__text").alias("x")).toPandas().sort_values("__id", kind="stable")
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y")).withColumn("__h", F.xxhash64("__id"))
+    # a hash share that leaves about twice as many comes first, so that no task sorts more than its part of these
+    count = max(1, rows.count())
+    rows = rows.where(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 40)).cast("double") * count <= 2.0 * most_rows * (1 << 40))
+    chosen = rows.orderBy("__h", "__id").limit(most_rows).drop("__h")
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    # of rows that share an id one teaches, so that the driver gets no more rows than were chosen
+    made = found.select("__id", "__y", F.xxhash64("__text").alias("__h"), features("__text").alias("x")).groupBy("__id", "__y").agg(F.min_by("x", "__h").alias("x"))
+    got = made.toPandas().sort_values("__id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["__y"].to_numpy(float))
 
@@ -176,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def with_score(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs and a column of scores, each from a whole text alone; null counts as empty.
 
-    All rows stay, with repeated or null ids too. An empty table gives an empty result.
+    All rows stay, with repeated or null ids too; a column that already has the name is replaced. An
+    empty table gives an empty result.
     """
 
     @F.pandas_udf("double")
