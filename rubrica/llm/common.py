@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,12 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the shared folder of spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """Takes the shared folder of spark.checkpoint.dir; a local one only where none is set and all runs
+    in one process (tests). On a cluster without a shared folder it is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rubrica-"))
 
 

@@ -212,6 +212,38 @@ def test_packing_is_gapless_and_tight(spark):
     assert sum(r.length for r in rows) / (4096 * len(by_sequence)) > 0.95
 
 
+def test_pieces_of_awkward_rows_are_packed(spark, awkward):
+    made = packing.pieces(awkward, q.TOKENIZER, length=64).withColumn("sequence_id", F.lit("old")).withColumn("group", F.lit(1)).withColumn("a b", F.lit(2))
+    packed = packing.pack(made, 3, length=64)
+    assert packed.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "group", "a b", "sequence_id", "offset"]
+    rows = packed.collect()
+    assert sorted((str(r.doc_id), r.start, r.length, bytes(r.ids)) for r in rows) == sorted((str(r.doc_id), r.start, r.length, bytes(r.ids)) for r in made.collect())
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    full = [len(v) for v in by.values() if max(n for _, n in v) == 64]
+    assert full and set(full) == {1}
+    # a document's remainder is alone in its group, its full pieces are spread over all
+    assert len({r.sequence_id >> 32 for r in rows if r.doc_id == 5}) == 3
+    assert sum(r.length == 1 for r in rows) >= 2  # null and empty texts
+    assert packing.pack(made.limit(0), 1).count() == 0 and packing.pieces(awkward.limit(0), q.TOKENIZER).count() == 0 and packing.groups_for(awkward.limit(0)) == 1
+
+
+def test_other_vocabularies_do_their_own_work():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "Hello  World, it's\n\nnaïve 12 345"
+    assert packing.WordStore(q.TOKENIZER).known and not packing.WordStore(path).known
+    assert array.array("I", packing.WordStore(path).encode(text)).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 # ---- classifiers
 
 def test_quality_on_held_out_rows(spark):
@@ -285,10 +317,37 @@ def test_ledger_spares_known_blobs(spark):
     assert secrets.scan_unseen(more, ledger.withColumn("rules", F.lit("1"))).count() == 3
 
 
+def test_history_is_scanned_once_by_version_of_the_rules(spark, tmp_path, monkeypatch):
+    schema, ledger = "path string, version int, text string", secrets.Ledger(str(tmp_path / "ledger"))
+    first = spark.createDataFrame([("a", 1, "token = abcdefgh"), ("a", 2, "none"), ("b", 1, "token = abcdefgh"), ("b", 2, None)], schema)
+    assert ledger.read(spark) is None
+    found = {(r.path, r.version): len(r.spans) for r in ledger.scan(first).collect()}
+    assert found == {("a", 1): 1, ("a", 2): 0, ("b", 1): 1, ("b", 2): 0}  # a secret of an old version counts
+    assert ledger.read(spark).count() == 3
+    more = first.unionAll(spark.createDataFrame([("c", 1, "none"), ("c", 2, "secret: 12345678")], schema))
+    assert secrets.scan_unseen(more, ledger.read(spark)).count() == 1  # another run: one new blob
+    assert sum(len(r.spans) for r in ledger.scan(more).collect()) == 3 and ledger.read(spark).count() == 4
+    monkeypatch.setattr(secrets, "RULES_VERSION", "next")  # new rules: every blob again, beside the old findings
+    assert secrets.scan_unseen(more, ledger.read(spark)).count() == 4
+    assert ledger.scan(more.limit(0)).count() == 0
+
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A-1B\n\nMIIEow/+=\nabc\n-----END RSA PRIVATE KEY-----"
+
+
+def test_private_keys_are_whole(spark):
+    rows = [(1, f"a {KEY} b"), (2, "we wrote -----BEGIN PRIVATE KEY----- in the text and went on with prose, to the end"), (3, "-----BEGIN PRIVATE KEY-----\nx " * 2000), (4, f"-----BEGIN PRIVATE KEY----- and {KEY}")]
+    got = {r.doc_id: r.text for r in secrets.redacted(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == "a [secret] b" and got[2] == rows[1][1] and got[3] == rows[2][1] and got[4] == "-----BEGIN PRIVATE KEY----- and [secret]"
+
+
 def test_redaction(spark):
     df = table(spark, [(1, "a token = \"" + "0a" * 20 + "\" b"), (2, None), (3, "clean"), (4, "token=abcdefgh")])
     got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
     assert got == {1: 'a [secret]" b', 2: None, 3: "clean", 4: "[secret]"} and secrets.redacted(df).columns == df.columns
+    odd = df.select("doc_id", "text", F.lit(1).alias("blob"), F.lit(2).alias("spans"), F.lit(3).alias("whole"))
+    assert [tuple(r) for r in secrets.redacted(odd).where("doc_id = 4").collect()] == [(4, "[secret]", 1, 2, 3)]
+    assert secrets.redacted(df.limit(0)).count() == 0 and secrets.scan_paths(df.limit(0))[0].count() == 0
 
 
 # ---- lines, exact copies, fingerprints
@@ -319,6 +378,14 @@ def test_lines_equal_brute_force(docs, awkward, threshold):
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_any_ids_and_columns(spark):
+    rows = [("b", "a line that repeats\nx"), ("a", "A line that repeats \ny"), (None, "a line that repeats"), ("c", "only null and c have this"), (None, "only null and c have this")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").select("doc_id", "text", *[F.lit(1).alias(c) for c in ("id", "gone", "whole", "stay", "r1", "kept", "a b")])
+    got = line_dedup.without_repeated_lines(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("None", ""), ("None", ""), ("a", "A line that repeats \ny"), ("b", "x"), ("c", "only null and c have this")]
+
+
 def test_exact_groups_equal_brute_force(docs, awkward):
     df = docs.select("doc_id", "text").unionAll(awkward.select("doc_id", "text"))
     rows = texts(df)
@@ -361,6 +428,61 @@ def test_fingerprints(spark, awkward):
     assert one.c == [2] and one.n == 0.75
 
 
+def merkle_twin(spark, texts_):
+    """leaves by section and paragraph of each text, from the tree's own hashes, as plain lists."""
+    df = spark.createDataFrame(list(enumerate(texts_)), "i int, t string").select("i", merkle.tree(F.col("t")).alias("t"))
+    return {r.i: r.t for r in df.collect()}
+
+
+def likeness_twin(a, b):
+    if a.root == b.root:
+        return 1.0
+
+    def unlike(x, y):
+        hy, hx = {s.hash for s in y.sections}, {s.hash for s in x.sections}
+        own = [p for s in x.sections if s.hash not in hy for p in s.paragraphs]
+        other = {p.hash for s in y.sections if s.hash not in hx for p in s.paragraphs}
+        return [p for p in own if p.hash not in other]
+
+    x, y = unlike(a, b), unlike(b, a)
+    leaves = lambda t: sum(len(p.leaves) for s in t.sections for p in s.paragraphs)
+    below = leaves(a) + leaves(b) - sum(len(p.leaves) for p in x + y)
+    u, v = ({h & 0xFFFFFFFF for p in z for h in p.leaves} for z in (x, y))
+    return (below + 2.0 * len(u & v)) / max(1, below + len(u) + len(v))
+
+
+def test_fingerprint_query_equals_a_second_implementation(spark):
+    rows = sorted(texts(spark.read.parquet(f"{SF}/documents.parquet")), reverse=True)
+    got = {r.doc_id: r for r in q.op8_fingerprints(spark, SF).collect()}
+    nexts = [rows[(n + 1) % len(rows)][1] or "" for n in range(len(rows))]
+    edited = [(t or "")[: len(t or "") - len(t or "") // 2] + o[: len(t or "") // 2] for (_, t), o in zip(rows, nexts, strict=True)]
+    trees, changed = merkle_twin(spark, [t or "" for _, t in rows]), merkle_twin(spark, edited)
+    shown = lambda t: f"{t.root & (1 << 64) - 1:016x}|" + ";".join(f"{s.hash & (1 << 64) - 1:016x}:" + ",".join(f"{p.hash & (1 << 64) - 1:016x}=" + ".".join(f"{x & 0xFFFFFFFF:08x}" for x in p.leaves) for p in s.paragraphs) for s in t.sections)
+    assert len(got) == len(rows)
+    for n, (i, t) in enumerate(rows):
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t or ""), hashlib.sha256(edited[n].encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(trees[n]), shown(changed[n]))
+        assert abs(r.near_edited - likeness_twin(trees[n], changed[n])) < 1e-12 and abs(r.near_next - likeness_twin(trees[n], trees[(n + 1) % len(rows)])) < 1e-12
+        at = [int(x) for x in r.changed.split(",") if x]
+        old, new = set((t or "").split("\n")), edited[n].split("\n")
+        assert {k for k in range(len(new)) if new[k] not in old} <= set(at) and at == sorted(at)
+
+
+def test_neighbours_of_odd_ids(spark):
+    rows = [(None, "n1"), (None, "n2"), (-(1 << 63), "least"), (5, "e"), (5, "d"), (5, "c"), ((1 << 63) - 1, None), (7, "x"), (7, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = sorted(((-(1 << 63) if i is None else i), t or "") for i, t in rows)
+    for size in (1, 3, 1024):
+        got = merkle.with_next(df, rows_in_bucket=size).collect()
+        assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.text) for r in got) == order
+        assert sorted(r.next_text for r in got) == sorted(t for _, t in order)  # a circle: every text follows once
+        by = {r.text: r.next_text for r in got}
+        assert by["x"] in ("x", "c", "d", "e") and by[""] == "x" and by["n1"] in ("n2", "", "least")
+    with pytest.raises(TypeError):
+        merkle.with_next(df.select(F.col("doc_id").cast("string"), "text"))
+
+
 # ---- pieces, licenses
 
 def test_segmentations_decode_and_equal_the_library(spark, docs, awkward):
@@ -539,6 +661,26 @@ def test_near_stage_finds_repeats_and_short_texts(spark):
     assert kept == {2 * k for k in range(1530)}
 
 
+def test_stages_on_awkward_rows(spark, awkward):
+    import corpus_pipeline
+
+    odd = awkward.withColumn("component_id", F.lit(1)).withColumn("whole", F.lit("w")).withColumn("a b", F.lit(0))
+    empty = odd.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        made, nothing = stage(spark, odd, SF), stage(spark, empty, SF)
+        assert nothing.count() == 0, name
+        rows = made.collect()
+        if name == "packing":
+            assert {r.doc_id for r in rows} == {r.doc_id for r in odd.collect()}
+            continue
+        assert made.columns == odd.columns == nothing.columns, name
+        ids = [r.doc_id for r in rows]
+        if name in ("line_dedup", "secrets"):
+            assert len(ids) == 13, name
+        if name == "near_dedup":  # null, empty and blank texts are one group; 5, 6 and 7 are near copies
+            assert sorted(str(i) for i in ids) == sorted(map(str, [1, 3, 3, None, 4, 5, 10, (1 << 62) + 1, 12])), ids
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -563,7 +705,9 @@ def test_pipeline(spark, tmp_path):
         elif name == "near_dedup":
             sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in before.items() if (w := t.lower().split())}
             alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
-            for i in set(before) - set(after):
+            blank = sorted(i for i in before if i not in sets)
+            assert set(blank) & set(after) == set(blank[:1])  # texts without a word are one group
+            for i in set(before) - set(after) - set(blank):
                 assert any(alike(sets[i], sets[j]) for j in before if j != i and j in sets), i
             left = [i for i in after if i in sets]
             missed = sum(alike(sets[a], sets[b]) for n_, a in enumerate(left) for b in left[:n_] if abs(len(sets[a]) - len(sets[b])) < 0.25 * max(len(sets[a]), len(sets[b])))
