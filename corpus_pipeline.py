@@ -24,35 +24,48 @@ NEAR = {"width": 5, "words": 4, "radius": 80, "anchors": 8, "least": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose whole text the classifier scores below LEAST_SCORE."""
+    """Drops the documents whose whole text the classifier scores below LEAST_SCORE.
+
+    Every row is judged by its text alone, null as an empty one; ids may repeat or be null. An empty
+    table stays empty.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, model, name="__score").where(F.col("__score") >= LEAST_SCORE).select(docs.columns)
+    kept = quality.with_score(docs, model, name="__score").where(F.col("__score") >= LEAST_SCORE)
+    return kept.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; n_chars follows the text. Texts of which nothing is left stay, empty."""
+    """Drops repeated lines; n_chars follows the text. Texts of which nothing is left stay, empty: the
+    next stage takes them for copies of each other. Null texts stay null; rows that share an id are one
+    document, null ids too."""
     kept = line_dedup.without_repeated_lines(docs, threshold=2, least_chars=10)
-    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays.
 
-    Texts without a word are no copies of each other and stay.
+    Texts without a word (null, empty, blank, or emptied by the stage before) are one group. Rows that
+    share an id are one document and stay or go together; rows without an id stay. An empty table stays
+    empty.
     """
     groups = simhash.near_duplicates(docs, **NEAR)
-    wordless = F.forall("fp", lambda x: x == 0)
-    gone = groups.where((F.col("doc_id") != F.col("component_id")) & ~wordless).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret that is found; n_chars follows the text."""
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    """Replaces every secret that is found; n_chars follows the text. All rows stay, whatever their ids;
+    null texts stay null."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("bigint")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a packed sequence, with its token ids (little-endian, 32 bits each)."""
+    """One row per piece of a packed sequence, with its token ids (little-endian, 32 bits each).
+
+    Null and empty texts have the end id alone; rows that repeat an id are packed each, and a null id
+    stays null. An empty table gives an empty result.
+    """
     made = packing.pieces(docs, TOKENIZER, end_id=2).withColumn("ids_crc32", F.crc32("ids"))
     return packing.pack(made, packing.groups_for(docs))
 
