@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rubrica.operators.agreement import agreement
 from rubrica.operators.sampling import audit_sample
+from rubrica.sources.settle import settled
 
 LABEL_COLUMNS = ("score", "evidence", "reason", "confidence", "label_status")
 
@@ -36,14 +37,15 @@ def apply_adjudications(labels: DataFrame, adjudicated: DataFrame, id_col: str,
 
 
 def reliability(labels: DataFrame, id_col: str, seed: int, size: int, audit: Callable[[DataFrame], DataFrame], adjudicate: Callable[[DataFrame], DataFrame], *, low: Column, conflict: Column, strict: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(labels with adjudications applied, the compared sample, metrics of one row).
+    """(labels with adjudications applied, the compared sample, metrics of one row). The callables may
+    run jobs on what they get, so the sample is drawn once for each of them.
 
     audit labels the ids of the sample without seeing the first labels; adjudicate gets (id, context)
     of the disagreements alone. Both give LABEL_COLUMNS.
     """
-    sample = audit_sample(labels, id_col, size, seed, low=low, conflict=conflict, strict=strict)
+    sample = settled(audit_sample(labels, id_col, size, seed, low=low, conflict=conflict, strict=strict))
     named = lambda df, name: df.select(id_col, *[F.col(c).alias(f"{name}_{c}") for c in LABEL_COLUMNS if c != "label_status"])
     first = sample.select(id_col, "selection_reason").join(named(labels, "primary"), id_col)
-    compared = comparison(first, named(audit(sample.select(id_col)), "audit"), id_col)
+    compared = settled(comparison(first, named(audit(sample.select(id_col)), "audit"), id_col))
     decided = adjudicate(adjudication_context(compared, id_col))
     return apply_adjudications(labels, decided, id_col, LABEL_COLUMNS), compared, agreement(compared, "primary_score", "audit_score")

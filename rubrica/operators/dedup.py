@@ -15,20 +15,26 @@ def _digest(keys: Sequence[str]) -> tuple:
     return F.xxhash64(*parts).alias("__a"), F.xxhash64(F.lit(7), *parts).alias("__b")
 
 
-def canonical(df: DataFrame, keys: Sequence[str], id_col: str, order: str | None = None) -> DataFrame:
+#: Ids that one row of canonical() lists at most; the lineage table has those of larger groups.
+MOST_IDS = 100_000
+
+
+def canonical(df: DataFrame, keys: Sequence[str], id_col: str, order: str | None = None, *, most_ids: int = MOST_IDS) -> DataFrame:
     """A row per group of equal keys (null equals null): the first by `order` (the id, if none given).
 
-    Adds canonical_id, source_ids (all ids in that order) and duplicate_group_size. The ids of a
-    group are gathered in one value; the other columns of the survivor come by min_by, so no row but
-    the group's partial result crosses the network.
+    Adds canonical_id, source_ids (all ids in that order) and duplicate_group_size. Groups are summed
+    by a digest of their keys; ids are gathered for groups of two to `most_ids` rows alone, so that no
+    row grows with a very large group: its source_ids is null, and `lineage` lists them.
     """
     order = order or id_col
-    others = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*others), F.col(order)).alias("__first")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_col).alias("i")))), lambda x: x.i).alias("source_ids")
-    made = df.groupBy(*keys).agg(first, ids, F.count(F.lit(1)).alias("duplicate_group_size"))
-    made = made.withColumn("canonical_id", F.col(f"__first.{id_col}"))
-    return made.select("canonical_id", "source_ids", "duplicate_group_size", *[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in df.columns if c != id_col])
+    rows = df.withColumns(dict(zip(("__a", "__b"), _digest(keys), strict=True)))
+    groups = rows.groupBy("__a", "__b").agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("__first"), F.count(F.lit(1)).alias("duplicate_group_size"))
+    several = groups.where(F.col("duplicate_group_size").between(2, most_ids)).select("__a", "__b")
+    entry = F.struct(F.col(order).alias("o"), F.col(id_col).alias("i"))
+    ids = rows.select("__a", "__b", entry.alias("e")).join(several, ["__a", "__b"], "left_semi").groupBy("__a", "__b").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.i).alias("__ids"))
+    made = groups.join(ids, ["__a", "__b"], "left")
+    listed = F.when(F.col("duplicate_group_size") == 1, F.array(f"__first.{id_col}")).otherwise(F.col("__ids"))
+    return made.select(F.col(f"__first.{id_col}").alias("canonical_id"), listed.alias("source_ids"), "duplicate_group_size", *[F.col(f"__first.{c}").alias(c) for c in df.columns if c != id_col])
 
 
 def lineage(df: DataFrame, keys: Sequence[str], id_col: str, order: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions.scoring import derive_score, error_type
-from rubrica.functions.spans import exact_span, recovered
+from rubrica.functions.spans import exact_span, with_recovered
 from rubrica.functions.text import strict_bool
 from rubrica.operators.joins import checked_join, key_differences
 
@@ -58,7 +58,8 @@ def normalised_review(sheet: DataFrame, title: str, description: str, tags: str)
     exact = F.lit(False)
     for c in (title, description, tags):
         exact = exact | F.coalesce(exact_span(said, c).isNotNull(), F.lit(False))
-    found = F.when(zero, "").when(exact, said).otherwise(recovered(F.when(~zero & ~exact, said), title, description, tags))
-    moved = F.when(F.col("__moved"), F.col("__said")).otherwise(note)
-    marked = sheet.withColumns({"__said": said, "__moved": (zero | ~exact) & (said != "") & (F.trim(note) == "")})
-    return marked.withColumns({"human_evidence": found, "human_note": moved, "strict_ai": F.lower(F.trim("strict_ai"))}).drop("__said", "__moved")
+    kept = F.when(zero, "").when(exact, said)
+    moved = F.when((zero | ~exact) & (said != "") & (F.trim(note) == ""), said).otherwise(note)
+    marked = sheet.withColumns({"__kept": kept, "__note": moved, "__prose": F.when(~zero & ~exact, said)})
+    found = with_recovered(marked, "__found", "__prose", title, description, tags)
+    return found.withColumns({"human_evidence": F.coalesce("__kept", "__found"), "human_note": F.col("__note"), "strict_ai": F.lower(F.trim("strict_ai"))}).drop("__kept", "__note", "__prose", "__found")

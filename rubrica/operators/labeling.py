@@ -42,9 +42,38 @@ class Invalid(ValueError):
     """An answer that breaks the label contract."""
 
 
+def rubric_text(rubric: dict) -> str:
+    """The parts of a rubric (any nesting of maps and lists) as indented lines, boundary cases included."""
+    def lines(value, depth: int) -> list[str]:
+        pad = "  " * depth
+        if isinstance(value, dict):
+            out = []
+            for k, v in value.items():
+                out += [f"{pad}{k}:", *lines(v, depth + 1)] if isinstance(v, dict | list) else [f"{pad}{k}: {v}"]
+            return out
+        if isinstance(value, list):
+            out = []
+            for v in value:
+                out += [f"{pad}-", *lines(v, depth + 1)] if isinstance(v, dict | list) else [f"{pad}- {v}"]
+            return out
+        return [f"{pad}{value}"]
+
+    return "\n".join(lines(rubric, 0))
+
+
+RULES = (
+    "Score by technology_role and strict_ai alone: none is 0, auxiliary 1, core 2, and core with strict_ai 3; nothing else is allowed.",
+    f"boundary_pair is one of {', '.join(BOUNDARIES)}: the pair of scores between which you hesitated.",
+    "evidence holds up to 5 stretches copied from the text without any change; a positive score needs at least one, and a generic title alone is none.",
+    f"reason has 2 to 240 characters; confidence is one of {', '.join(CONFIDENCES)}.",
+)
+
+
 def prompt(stage: str, rubric: str, items: Sequence[tuple[str, str]], contexts: dict[str, str] | None = None) -> str:
-    texts = [{"canonical_id": i, "text": t} | ({"context": json.loads(contexts[i])} if contexts and i in contexts else {}) for i, t in items]
-    return "\n\n".join([SYSTEM, STAGES[stage], rubric, json.dumps(texts, ensure_ascii=False)])
+    """What a model is asked: the rules, the stage's task, the rubric, and the texts as JSON, which are data.
+    contexts: of an adjudication, both readings of an item as JSON."""
+    texts = [{"canonical_id": i, "text": t} | ({"context": json.loads(contexts[i])} if contexts and contexts.get(i) else {}) for i, t in items]
+    return "\n\n".join([SYSTEM, "\n".join(RULES), STAGES[stage], rubric, json.dumps(texts, ensure_ascii=False)])
 
 
 def prompt_fingerprint(rubric: dict, *, stage: str, model: str, versions: dict[str, str], thinking: bool = False) -> str:
@@ -88,53 +117,100 @@ def validate(payload: str, sources: dict[str, str]) -> list[dict]:
     return [_check(i, sources[i["canonical_id"]]) for i in items]
 
 
-def ask(call: Callable[[str], tuple[str, int, int]], build: Callable[[list], str], batch: list[tuple[str, str]], *, attempts: int = 4, wait: Callable[[float], None] = time.sleep) -> list[dict]:
+def request_id(fingerprint: str, ids: Sequence[str]) -> str:
+    """SHA-256 of a fingerprint and the ids that one request asks for."""
+    return hashlib.sha256("\n".join([fingerprint, *ids]).encode()).hexdigest()
+
+
+def ask(call: Callable[[str], tuple[str, int, int]], build: Callable[[list], str], batch: list[tuple[str, str]], *, attempts: int = 4, wait: Callable[[float], None] = time.sleep, fingerprint: str = "") -> list[dict]:
     """Validated labels of a batch. Broken answers to several items are asked for one by one."""
     last: Exception | None = None
     for n in range(attempts):
         try:
             text, tokens_in, tokens_out = call(build(batch))
-            return [x | {"input_tokens": tokens_in, "output_tokens": tokens_out} for x in validate(text, dict(batch))]
+            known = {"input_tokens": tokens_in, "output_tokens": tokens_out, "request_id": request_id(fingerprint, [i for i, _ in batch])}
+            return [x | known for x in validate(text, dict(batch))]
         except Refused as e:
             if e.status is not None and e.status != 429 and e.status < 500:
                 raise
             last = e
         except Invalid as e:
             if len(batch) > 1:
-                return [x for one in batch for x in ask(call, build, [one], attempts=attempts, wait=wait)]
+                return [x for one in batch for x in ask(call, build, [one], attempts=attempts, wait=wait, fingerprint=fingerprint)]
             last = e
         if n + 1 < attempts:
             wait(2.0**n)
     raise last  # type: ignore[misc]
 
 
+@dataclass(frozen=True)
+class Versions:
+    """What a label depends on beside its text: labels of unlike versions don't mix."""
+
+    model: str
+    prompt_version: str
+    schema_version: str
+    prompt_fingerprint: str
+    thinking: bool = False
+
+    def expected(self, stage: str, label_status: str) -> dict[str, object]:
+        return {"model": self.model, "prompt_version": self.prompt_version, "schema_version": self.schema_version, "prompt_fingerprint": self.prompt_fingerprint, "thinking": self.thinking, "stage": stage, "label_status": label_status}
+
+
 @dataclass(frozen=True)
 class Labeller:
-    """How misses are labelled. client: makes, in a task, a function from prompt to (answer, tokens)."""
+    """How misses are labelled. client: makes, in a task, a function from prompt to (answer, tokens).
+
+    wait: seconds to wait by, between attempts.
+    """
 
     client: Callable[[], Callable[[str], tuple[str, int, int]]]
     rubric: str = ""
     stage: str = "primary"
     batch: int = 8
     parallel: int = 4
+    wait: Callable[[float], None] = time.sleep
 
-    def label(self, misses: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, technology_role, ..., input_tokens, output_tokens); at most `parallel` requests at once."""
-        client, rubric, stage, size = self.client, self.rubric, self.stage, self.batch
+    def label(self, misses: DataFrame, id_col: str, text_col: str, *, context_col: str | None = None, fingerprint: str = "") -> DataFrame:
+        """(id, technology_role, ..., input_tokens, output_tokens, request_id); at most `parallel` requests
+        at once. An answer's tokens stand beside each of its items, with the same request_id."""
+        client, rubric, stage, size, wait = self.client, self.rubric, self.stage, self.batch, self.wait
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             call = client()
             for frame in frames:
+                contexts = dict(zip(frame["id"], frame["context"], strict=True))
                 rows = list(zip(frame["id"], frame["text"], strict=True))
                 for at in range(0, len(rows), size):
-                    made = ask(call, lambda b: prompt(stage, rubric, b), rows[at : at + size])
+                    made = ask(call, lambda b, contexts=contexts: prompt(stage, rubric, b, contexts), rows[at : at + size], wait=wait, fingerprint=fingerprint)
                     yield pd.DataFrame([{"id": x["canonical_id"]} | {k: x[k] for k in x if k != "canonical_id"} for x in made])[SHAPE_COLUMNS]
 
-        asked = misses.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).repartition(self.parallel)
+        context = F.col(context_col) if context_col else F.lit(None).cast("string")
+        asked = misses.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), context.alias("context")).repartition(self.parallel)
         return asked.mapInPandas(run, SHAPE)
 
-
-SHAPE = "id string, technology_role string, strict_ai boolean, score int, boundary_pair string, evidence array<string>, reason string, confidence string, input_tokens bigint, output_tokens bigint"
+    def fill(self, misses: DataFrame, log: str, versions: Versions, *, label_status: str, round_size: int = 256) -> int:
+        """Labels misses(canonical_id, text, content_hash and perhaps context) and appends the records to
+        the log, round by round; the number of records.
+
+        A round's records are in the log before the next round begins, so what is lost with a failed
+        run or a lost task is one round's share at most.
+        """
+        count = misses.count()
+        rounds = -(-count // round_size)
+        dealt = misses.withColumn("__round", F.pmod(F.xxhash64("canonical_id"), F.lit(max(1, rounds))))
+        context = "context" if "context" in misses.columns else None
+        known = {k: F.lit(v).alias(k) for k, v in versions.expected(self.stage, label_status).items()}
+        for n in range(rounds):
+            part = dealt.where(F.col("__round") == n)
+            made = self.label(part, "canonical_id", "text", context_col=context, fingerprint=versions.prompt_fingerprint).withColumnRenamed("id", "canonical_id")
+            record = made.join(part.select(F.col("canonical_id").cast("string").alias("canonical_id"), "content_hash"), "canonical_id")
+            record = record.withColumns({"evidence": join_list("evidence"), "model_score": F.col("score")}).select("*", *known.values())
+            record.write.mode("append").json(log)
+        return count
+
+
+SHAPE = "id string, technology_role string, strict_ai boolean, score int, boundary_pair string, evidence array<string>, reason string, confidence string, input_tokens bigint, output_tokens bigint, request_id string"
 SHAPE_COLUMNS = [c.split()[0] for c in SHAPE.split(", ")]
 
 

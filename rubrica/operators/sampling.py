@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rubrica.functions.text import review_id
 
+#: Rows of each score in the two review samples, and candidates that the first reserves.
 DEVELOPMENT = {0: 15, 1: 20, 2: 24, 3: 1}
 RESERVE = {0: 1, 1: 1, 2: 4, 3: 1}
 HOLDOUT = {0: 18, 1: 20, 2: 21, 3: 1}

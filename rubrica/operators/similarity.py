@@ -1,16 +1,16 @@
-"""Candidates by name likeness. Distinct names are scored in Arrow batches against a small master."""
+"""Candidates by name likeness: blocks of distinct names against blocks of a master, in Arrow batches."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A master above this is refused: likeness against all of it is for lists, not for tables.
-MOST_MASTER = 50_000
+#: Names and master rows of a block, about; a task scores one block against another.
+BLOCK = 4096
 
 
 def common_length(a: str, b: str) -> int:
@@ -31,6 +31,16 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
+def edit_ratio(a: str, b: str) -> float:
+    """100 less the share of the longer string's length that edits of single characters make up."""
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, e in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (c != e))
+    return 100.0 * (1 - row[-1] / max(len(a), len(b), 1))
+
+
 def best_window(a: str, b: str) -> float:
     """The best ratio of the shorter string with a stretch of its length in the longer."""
     a, b = sorted((a, b), key=len)
@@ -66,25 +76,31 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(plain, scale * best_window(a, b), 0.95 * scale * best_window(_sorted_words(a), _sorted_words(b)), 0.95 * scale * _word_sets(a, b, best_window))
 
 
-def candidates(items: DataFrame, id_col: str, names: list[str], master: DataFrame, master_name: str, code_col: str, *, k: int = 3) -> DataFrame:
+def candidates(items: DataFrame, id_col: str, names: list[str], master: DataFrame, master_name: str, code_col: str, *, k: int = 3, measure: Callable[[str, str], float] = weighted_ratio, block: int = BLOCK) -> DataFrame:
     """(id, code, similarity) of the k most alike master rows for each of an item's names, rounded to 2.
 
-    The master is a checked, bounded list on the driver and goes along with the function; the
-    distinct names are dealt over the tasks, and each keeps k entries.
+    Every name is scored against the whole master, whatever its size: both are dealt into blocks by
+    hash, each task has one pair of blocks, and of a name's k best of each block the k best stay (ties
+    by code). Blank and null names are not asked; a null master name is an empty one, which is like
+    nothing. An empty master gives an empty result.
     """
-    rows = master.select(F.col(code_col).cast("string"), master_name).limit(MOST_MASTER + 1).collect()
-    if len(rows) > MOST_MASTER:
-        raise ValueError(f"a master of over {MOST_MASTER} rows needs blocking before likeness")
-    listed = [(r[0], r[1] or "") for r in rows]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name in batch["name"]:
-                scored = ((round(weighted_ratio(name, m), 2), c) for c, m in listed)
-                out += [(name, c, s) for s, c in heapq.nsmallest(k, scored, key=lambda x: (-x[0], x[1]))]
-            yield pd.DataFrame(out, columns=["name", "code", "similarity"])
-
     asked = items.select(id_col, F.explode(F.array_distinct(F.array(*names))).alias("name")).where("name is not null and name <> ''")
-    scored = asked.select("name").distinct().mapInPandas(run, "name string, code string, similarity double")
+    distinct = asked.select("name").distinct()
+    listed = master.select(F.col(code_col).cast("string").alias("code"), F.coalesce(F.col(master_name), F.lit("")).alias("master"))
+    deep, wide = (max(1, -(-df.count() // block)) for df in (distinct, listed))
+    left = distinct.select("name", F.pmod(F.xxhash64("name"), F.lit(deep)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("b"))
+    right = listed.select("code", "master", F.pmod(F.xxhash64("code", "master"), F.lit(wide)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(deep - 1).cast("bigint"))).alias("a"))
+
+    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        rows, out = list(zip(y["code"], y["master"], strict=True)), []
+        for name in x["name"]:
+            found = ((round(measure(name, m), 2), c) for c, m in rows)
+            out += [(name, c, s) for s, c in heapq.nsmallest(k, found, key=lambda v: (-v[0], v[1]))]
+        return pd.DataFrame(out, columns=["name", "code", "similarity"])
+
+    scored = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(score, "name string, code string, similarity double")
+    order = F.struct((-F.col("similarity")).alias("s"), F.col("code").alias("c"))
+    best = scored.groupBy("name").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best")) if wide > 1 else None
+    if best is not None:  # at most k entries of each block of the master come together
+        scored = best.select("name", F.explode("best").alias("v")).select("name", F.col("v.c").alias("code"), (-F.col("v.s")).alias("similarity"))
     return asked.join(scored, "name").select(id_col, "code", "similarity")

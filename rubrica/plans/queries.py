@@ -36,12 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- stand-ins for the engine's own tables, and the same in SQL ----------------------------------
 
 def injected(spark, d) -> DataFrame:
-    """Documents with a scraped marker inside."""
-    c = F.concat(F.substr("text", F.lit(1), F.lit(40)), F.lit("<$&000"), (F.col("doc_id") % 10).cast("string"), F.lit("&$>  x"))
+    """Documents with scraped markers: one before, one at every line end, one behind."""
+    lines = F.replace("text", F.lit("\n"), F.lit("<$&0001&$>\n"))
+    c = F.concat(F.lit("<$&0002&$>"), lines, F.lit("<$&000"), (F.col("doc_id") % 10).cast("string"), F.lit("&$>  x"))
     return table(spark, d, "documents").select("doc_id", c.alias("raw"))
 
 
-INJECTED = "(SELECT doc_id, concat(substr(text, 1, 40), '<$&000', CAST(doc_id % 10 AS VARCHAR), '&$>  x') AS raw FROM documents)"
+INJECTED = "(SELECT doc_id, concat('<$&0002&$>', replace(text, chr(10), concat('<$&0001&$>', chr(10))), '<$&000', CAST(doc_id % 10 AS VARCHAR), '&$>  x') AS raw FROM documents)"
+
+#: Letters that the test of NFKC swaps for their full-width forms.
+PLAIN_LETTERS = "aeinorst"
+WIDE_LETTERS = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN_LETTERS)
 
 
 def _rating(k: Column | str = "o_orderpriority") -> Column:
@@ -148,7 +153,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(raw, '<\\$&[0-9]+&\\$>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS cleaned FROM {INJECTED}")
 def clean_text(spark, d):
-    return injected(spark, d).select("doc_id", text.clean_text("raw", unicode=False).alias("cleaned"))
+    return injected(spark, d).select("doc_id", text.clean_text("raw").alias("cleaned"))
 
 
 @query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(concat(raw, ';;', lang), '<\\$&[0-9]+&\\$>', '; ', 'g'), '([ \\t\\r\\n]*;[ \\t\\r\\n]*)+', '; ', 'g'), ' ;') AS tags
@@ -161,12 +166,14 @@ def tag_collapse(spark, d):
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS cleaned FROM documents")
 def nfkc_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.clean_text("text").alias("cleaned"))
+    """Texts in full-width letters come back in plain ones."""
+    wide = F.translate("text", PLAIN_LETTERS, WIDE_LETTERS)
+    return table(spark, d, "documents").select("doc_id", text.clean_text(wide).alias("cleaned"))
 
 
 @query(f"SELECT c_custkey, {KEY_SQL.format('name')} AS name_key FROM {NAMED}")
 def company_normalize(spark, d):
-    return named(spark, d).select("c_custkey", text.company_key(F.regexp_replace("name", "#", "#"), unicode=False).alias("name_key"))
+    return named(spark, d).select("c_custkey", text.company_key(F.translate("name", PLAIN_LETTERS, WIDE_LETTERS)).alias("name_key"))
 
 
 def _dates(spark, d) -> DataFrame:
@@ -316,10 +323,9 @@ _LEV = "(SELECT DISTINCT p_name AS code FROM part)"
     SELECT name, candidate_rank, code AS candidate_code, similarity FROM r WHERE candidate_rank <= 3""")
 def similarity_ranked(spark, d):
     p = table(spark, d, "part")
-    names, master = p.select(F.lower("p_type").alias("name")).distinct(), p.select(F.col("p_name").alias("code")).distinct()
-    # both sides are closed vocabularies of the part table, and the look at the master's size is a check
-    scored = names.join(matching.small(master), F.lit(True)).select("name", "code", F.round(100.0 * (1 - F.levenshtein("name", "code") / F.greatest(F.length("name"), F.length("code"))), 2).alias("similarity"))
-    return matching.top_candidates(scored, "name")
+    names, master = p.select(F.lower("p_type").alias("name")).distinct(), p.select("p_name").distinct()
+    found = similarity.candidates(names.withColumn("id", F.col("name")), "id", ["name"], master, "p_name", "p_name", measure=similarity.edit_ratio)
+    return matching.top_candidates(found.withColumnRenamed("id", "name"), "name")
 
 
 @query()
@@ -328,7 +334,7 @@ def similarity_top3(spark, d):
     return matching.top_candidates(found, "c_custkey")
 
 
-@query(f"SELECT c_custkey, match_method, CASE WHEN code IS NULL THEN 'kept_unmatched' ELSE 'accepted_by_rule' END AS review_decision FROM {MATCH_SQL} WHERE match_method <> 'exact_normalized'")
+@query(f"SELECT c_custkey, match_method, CASE WHEN code IS NULL THEN 'rejected_auto_match' ELSE 'accepted_reviewed_rule' END AS review_decision FROM {MATCH_SQL} WHERE match_method <> 'exact_normalized'")
 def match_review(spark, d):
     return matching.review_ledger(matched(spark, d), similarity_top3(spark, d), "c_custkey").select("c_custkey", "match_method", "review_decision")
 
@@ -615,7 +621,7 @@ def quality_checks(spark, d):
     found = [
         checks.unique_key(docs, ["doc_id"], "key_unique"),
         checks.row_rules(docs, {"short_text": F.length("text") < 20, "mail_address": F.contains("text", F.lit("@")), "secret_like": F.col("text").rlike("sk-[A-Za-z0-9]{20,}")}),
-        checks.row_rules(injected(spark, d).select(text.clean_text("raw", unicode=False).alias("t")), {"marker_left": F.col("t").rlike(text.MARKER)}),
+        checks.row_rules(injected(spark, d).select(text.clean_text("raw").alias("t")), {"marker_left": F.col("t").rlike(text.MARKER)}),
         checks.row_count(docs, docs.count(), "rows"),
         checks.disjoint(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), "doc_id", "split_overlap")]
     return checks.union(found)
@@ -634,34 +640,51 @@ def label_checks(spark, d):
     return checks.row_rules(labels, checks.label_rules())
 
 
-@query("""SELECT d.doc_id, b.item_id FROM (SELECT item_id, substr(text, 1, 60) AS piece FROM benchmark) b JOIN documents d ON contains(d.text, b.piece)""")
+@query("SELECT d.doc_id, b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def evidence_span(spark, d):
-    pieces = table(spark, d, "benchmark").select("item_id", F.substr("text", F.lit(1), F.lit(60)).alias("piece"))
+    """Benchmark passages, a list of checked size, that stand in a document as they are."""
+    pieces = table(spark, d, "benchmark").select("item_id", F.col("text").alias("piece"))
     both = table(spark, d, "documents").select("doc_id", "text").join(matching.small(pieces), spans.exact_span("piece", "text").isNotNull())
     return both.select("doc_id", "item_id")
 
 
-@query("SELECT doc_id, substr(text, 1, 30) AS span FROM documents")
+_FOLD_SQL = "regexp_replace(replace(lower({}), 'ß', 'ss'), '[\\p{{P}}\\p{{Z}}\\p{{C}}]', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, substr(text, 3, 45) AS piece FROM documents), s AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE doc_id % 2 = 0),
+    f AS (SELECT doc_id, i, {_FOLD_SQL.format('c')} AS f FROM s), u AS (SELECT doc_id, i, f, sum(length(f)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM f),
+    g AS (SELECT doc_id, string_agg(f, '' ORDER BY i) AS form FROM f GROUP BY doc_id), w AS (SELECT d.doc_id, {_FOLD_SQL.format('piece')} AS wanted, instr(form, {_FOLD_SQL.format('piece')}) AS hit FROM d JOIN g USING (doc_id)),
+    r AS (SELECT u.doc_id, min(i) FILTER (WHERE upto >= hit) AS a, min(i) FILTER (WHERE upto >= hit + length(wanted) - 1) AS b FROM u JOIN w ON u.doc_id = w.doc_id AND hit > 0 AND wanted <> '' GROUP BY u.doc_id)
+    SELECT d.doc_id, CASE WHEN piece = '' THEN NULL WHEN d.doc_id % 2 = 1 THEN piece WHEN contains(text, upper(piece)) THEN upper(piece) ELSE substr(text, a, b - a + 1) END AS span FROM d LEFT JOIN r USING (doc_id)""")
 def evidence_span_folded(spark, d):
-    piece = F.substr("text", F.lit(1), F.lit(30))
-    # half of the pieces differ in case; the search form finds them, and the span is the source's own text
+    """A stretch of every second text is asked for in capitals; the span is the source's own text."""
+    piece = F.substr("text", F.lit(3), F.lit(45))
     asked = F.when(F.col("doc_id") % 2 == 0, F.upper(piece)).otherwise(piece)
-    found = table(spark, d, "documents").where("length(text) >= 1").select("doc_id", piece.alias("p"), spans.source_span(asked, F.col("text")).alias("span"))
-    # ends that the search form leaves out (spaces, signs) come back from the piece itself
-    return found.select("doc_id", F.when(F.startswith("p", F.col("span")) | F.contains("p", F.col("span")), F.col("p")).alias("span"))
+    return table(spark, d, "documents").select("doc_id", spans.source_span(asked, F.col("text")).alias("span"))
 
 
 @query()
 def evidence_recover(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text"), "lang")
     said = F.concat(F.lit("It says “"), F.substr("title", F.lit(1), F.lit(20)), F.lit("” and more"))
-    return docs.select("doc_id", spans.recovered(said, "title", "text", "lang").alias("evidence"))
+    return spans.with_recovered(docs, "evidence", said, "title", "text", "lang").select("doc_id", "evidence")
+
 
+def _bounded(pattern: str) -> str:
+    r"""\b of a pattern's words for an engine that knows ASCII borders only."""
+    return "|".join(f"(^|[^\\p{{L}}\\p{{N}}_]){x[2:-2]}([^\\p{{L}}\\p{{N}}_]|$)" if x.startswith(r"\b") else x for x in pattern.split("|"))
 
-@query(f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{scoring.TIERS[3].replace(chr(92) + 'b', '')}') THEN 3 WHEN regexp_matches(lower(text), '{scoring.TIERS[2].replace(chr(92) + 'b', '')}') THEN 2
-    WHEN regexp_matches(lower(text), '{scoring.TIERS[1]}') THEN 1 ELSE 0 END AS score, 'provisional_no_api' AS label_status, sha256(concat('fp', chr(10), text)) AS content_hash FROM (SELECT doc_id, concat('zz', CAST(doc_id AS VARCHAR), ' 软件开发') AS text FROM documents)""")
+
+#: What the stand-in texts end with: words of each score, some of them inside other words.
+ENDINGS = (" 机器学习", " nlp", " xnlpy", " 软件开发和sql", " SQL", " ERP", "")
+ENDED = "concat(text, CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(ENDINGS)) + " END)"
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{_bounded(scoring.TIERS[3])}') THEN 3 WHEN regexp_matches(lower(text), '{_bounded(scoring.TIERS[2])}') THEN 2
+    WHEN regexp_matches(lower(text), '{_bounded(scoring.TIERS[1])}') THEN 1 ELSE 0 END AS score, 'provisional_no_api' AS label_status, sha256(concat('fp', chr(10), text)) AS content_hash FROM (SELECT doc_id, {ENDED} AS text FROM documents)""")
 def provisional_labels(spark, d):
-    items = table(spark, d, "documents").select("doc_id", F.concat(F.lit("zz"), F.col("doc_id").cast("string"), F.lit(" 软件开发")).alias("text"))
+    ending = F.get(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS)).cast("int"))
+    items = table(spark, d, "documents").select("doc_id", F.concat("text", ending).alias("text"))
     return labeling.provisional(items, "doc_id", F.col("text"), "fp").select("doc_id", "score", "label_status", "content_hash")
 
 
@@ -745,11 +768,11 @@ def review_errors(spark, d):
     return evaluation.review_errors(_sheet(spark, d), "title", "body", "tags")
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS review_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE trim(substr(text, 1, 6)) END AS human_evidence
-    FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 4 = 0""")
+@query()
 def review_normalised(spark, d):
-    exact = _sheet(spark, d).where("int(review_id) % 5 <> 0 or int(review_id) % 4 = 0").withColumn("human_score", (F.col("review_id").cast("int") % 4).cast("string"))
-    return evaluation.normalised_review(exact, "title", "body", "tags").select("review_id", "human_evidence")
+    """All sheets; a fifth of them have evidence that is no stretch of the text and has to be recovered."""
+    sheet = _sheet(spark, d).withColumn("human_score", (F.col("review_id").cast("bigint") % 4).cast("string"))
+    return evaluation.normalised_review(sheet, "title", "body", "tags").select("review_id", "human_evidence", "human_note")
 
 
 @query("""SELECT 'mapping' AS "check", count(*) FILTER (WHERE l.doc_id IS NULL) AS violations FROM documents d LEFT JOIN labels l USING (doc_id)

@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 from rubrica.operators.checks import require_columns
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV file with a header, a byte-order mark or none, and quoted line ends. Blank text is ''."""
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, columns: Sequence[str] | None = None, quoted_lines: bool = True) -> DataFrame:
+    """A CSV file with a header, a byte-order mark or none. Blank text is ''.
+
+    quoted_lines: quoted values may hold line ends. Then a file is one task's work; without them
+    large files are split.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", quoted_lines).option("escape", '"').option("enforceSchema", False)
     texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     df = reader.csv(path).na.fill("", texts)
     return df.select(*columns) if columns else df
@@ -36,6 +40,17 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of an append-only log of JSON lines, with `__order`: later records sort higher.
+
+    The order is that of the files' times and names, then that within a file.
+    """
+    found = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    meta = F.col("_metadata")
+    order = F.struct(meta["file_modification_time"].alias("t"), meta["file_path"].alias("f"), meta["file_block_start"].alias("b"), F.monotonically_increasing_id().alias("n"))
+    return found.select("*", order.alias("__order"))
+
+
 def read_json_document(spark: SparkSession, path: str) -> dict:
     """One small JSON document, on the driver, from any store."""
     return json.loads(_whole(spark, path))
@@ -71,8 +86,10 @@ def list_files(spark: SparkSession, path: str, *, without: str | None = None, mo
     return small.unionAll(spark.createDataFrame(large, "path string, bytes bigint, sha256 string"))
 
 
-def read_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A review sheet, all text. Workbooks are read from their CSV export: Spark has no reader for them."""
-    if path.endswith((".xlsx", ".xls")):
-        raise ValueError("export the sheet as CSV first")
+def read_sheet(spark: SparkSession, path: str, schema: T.StructType, sheet: str | None = None) -> DataFrame:
+    """A review sheet, all text, from a workbook or from CSV; its columns have to be those of the schema."""
+    if path.endswith(".xlsx"):
+        from rubrica.sources.workbook import read_workbook
+
+        return require_columns(read_workbook(spark, path, sheet), schema.names, path).select(schema.names)
     return read_csv(spark, path, schema)

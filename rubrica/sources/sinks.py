@@ -1,19 +1,21 @@
-"""Sinks: tables are Parquet inside and CSV or JSON at the edge; a run's outputs appear together or not at all."""
+"""Sinks: tables are Parquet inside and CSV or JSON at the edge; a run's outputs appear together or not at all.
+
+Everything goes through Spark or Hadoop's file systems, so targets can be in any store.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rubrica.operators.cache import latest
+from rubrica.sources.store import Store
+
+BOM = "\ufeff".encode()
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -21,9 +23,21 @@ def flat(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.concat_ws("|", f.name) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)})
 
 
-def write_csv(df: DataFrame, path: str, *, one_file: bool = False) -> None:
-    made = flat(df)
-    (made.coalesce(1) if one_file else made).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str) -> None:
+    """A folder of CSV files with headers."""
+    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """One CSV file with a byte-order mark and a header; rows keep the order of a sorted table.
+
+    The parts are written by the executors and joined as streams, so the driver holds no rows.
+    """
+    store, parts, made = Store(df.sparkSession), f"{path}.parts", flat(df)
+    made.write.mode("overwrite").option("header", False).option("escape", '"').csv(parts)
+    head = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n') else c for c in made.columns)
+    store.join(BOM + head.encode() + b"\n", [f"{parts}/{n}" for n in store.files(parts) if n.startswith("part-")], path)
+    store.delete(parts)
 
 
 def write_parquet(df: DataFrame, path: str, *, by: str | None = None) -> None:
@@ -32,10 +46,13 @@ def write_parquet(df: DataFrame, path: str, *, by: str | None = None) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """The first row (of a table of one row) as one JSON document on the driver."""
+    """The first row (of a table of one row) as one JSON document."""
     row = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(json.loads(row["j"]) if row else {}, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    write_document(df.sparkSession, json.loads(row["j"]) if row else {}, path)
+
+
+def write_document(spark: SparkSession, value: object, path: str) -> None:
+    Store(spark).write(path, (json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode())
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -43,61 +60,66 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def compact_log(spark: SparkSession, path: str, target: str, schema: T.StructType, key: str, order: str) -> None:
-    """The last record of each key, in a new folder that then takes the target's place."""
+    """The last record of each key, by the number in the key where it is one, in a folder that then takes
+    the target's place."""
     staged = f"{target}.staged"
-    latest(spark.read.schema(schema).json(path), key, order).write.mode("overwrite").json(staged)
-    swap(staged, target)
-
-
-def swap(staged: str, target: str) -> None:
-    """staged takes target's place by two renames; the old one is removed last."""
-    old = f"{target}.old"
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(target):
-        os.replace(target, old)
-    os.replace(staged, target)
-    shutil.rmtree(old, ignore_errors=True)
+    kept = latest(spark.read.schema(schema).json(path), key, order)
+    kept.orderBy(F.col(key).try_cast("bigint"), key).write.mode("overwrite").json(staged)
+    swap(spark, staged, target)
+
+
+def swap(spark: SparkSession, staged: str, target: str) -> None:
+    """staged takes target's place by two renames; the old one is removed last, and comes back if the
+    second rename fails."""
+    store, old = Store(spark), f"{target}.old"
+    if store.exists(target):
+        store.delete(old)
+        store.rename(target, old)
+    try:
+        store.rename(staged, target)
+    except Exception:
+        if store.exists(old) and not store.exists(target):
+            store.rename(old, target)
+        raise
+    store.delete(old)
 
 
 class Outputs:
-    """A folder of outputs that appears whole: `with Outputs(target) as folder:` writes into a staging
-    folder, which is swapped in if the block ends well and removed if it does not."""
+    """A folder of outputs that appears whole: `with Outputs(spark, target) as folder:` writes into a
+    staging folder, which is swapped in if the block ends well and removed if it does not."""
 
-    def __init__(self, target: str):
-        self.target, self.staged = str(target), f"{target}.staging"
+    def __init__(self, spark: SparkSession, target: str):
+        self.spark, self.target, self.staged = spark, str(target), f"{target}.staging"
 
     def __enter__(self) -> str:
-        shutil.rmtree(self.staged, ignore_errors=True)
-        os.makedirs(self.staged)
+        store = Store(self.spark)
+        store.delete(self.staged)
+        store.make_folder(self.staged)
         return self.staged
 
     def __exit__(self, kind, *_) -> None:
         if kind is None:
-            swap(self.staged, self.target)
+            swap(self.spark, self.staged, self.target)
         else:
-            shutil.rmtree(self.staged, ignore_errors=True)
+            Store(self.spark).delete(self.staged)
 
 
-def snapshot_once(outputs: str, baselines: str, version: str) -> bool:
+def snapshot_once(spark: SparkSession, outputs: str, baselines: str, version: str) -> bool:
     """Keeps a copy of the outputs of a version, unless there is one; True if it was made."""
-    target = Path(baselines) / version
-    if target.exists() or not Path(outputs).exists():
+    store, target = Store(spark), f"{baselines}/{version}"
+    if store.exists(target) or not store.exists(outputs):
         return False
-    staged = Path(f"{target}.staged")
-    shutil.rmtree(staged, ignore_errors=True)
-    shutil.copytree(outputs, staged)
-    os.replace(staged, target)
+    store.copy(outputs, f"{target}.staged")
+    store.rename(f"{target}.staged", target)
     return True
 
 
-def archive(folder: str, target: str, *, without: Iterable[str] = (".git", "__pycache__", ".env")) -> int:
-    """A ZIP of a local folder without parts of these names; the number of files in it."""
-    skip, top = set(without), Path(folder)
-    files = [p for p in sorted(top.rglob("*")) if p.is_file() and not skip & set(p.relative_to(top).parts) and p.resolve() != Path(target).resolve()]
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in files:
-            z.write(p, p.relative_to(top).as_posix())
-    return len(files)
+def archive(spark: SparkSession, folder: str, target: str, *, without: Iterable[str] = (".git", "__pycache__", ".env", "private")) -> list[str]:
+    """A ZIP of a folder without parts of these names; the names in it."""
+    store, skip = Store(spark), set(without)
+    names = [n for n in store.files(folder) if not skip & set(n.split("/")) and not n.endswith(".crc") and f"{folder}/{n}" != target]
+    store.zip(folder, names, target)
+    return names
 
 
 def report(title: str, sections: dict[str, DataFrame | str], most_rows: int = 200) -> str:
@@ -110,5 +132,5 @@ def report(title: str, sections: dict[str, DataFrame | str], most_rows: int = 20
             continue
         rows = part.limit(most_rows).collect()
         out += ["| " + " | ".join(part.columns) + " |", "|" + "-|" * len(part.columns)]
-        out += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows] + [""]
+        out += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "/") for v in r) + " |" for r in rows] + [""]
     return "\n".join(out)

@@ -17,7 +17,7 @@ def label_stream(spark: SparkSession, source: str, schema: str, log: str, checkp
     label = label or (lambda df: provisional(df, id_col, F.col(text_col), fingerprint))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        made = label(df.dropDuplicates([id_col]))
+        made = label(df.dropDuplicates([id_col, text_col]))
         try:
             known = spark.read.parquet(log).select(id_col, "content_hash")
             made = made.join(known, [id_col, "content_hash"], "left_anti")

@@ -83,9 +83,43 @@ def test_span_column_equals_the_function(spark):
     assert [r.y for r in got] == [spans.find_span(p, s) for p, s in rows]
 
 
-def test_evidence_is_recovered_from_prose():
-    fields = ["软件工程师", "负责嵌入式软件开发，熟悉C语言。参与测试", "五险一金"]
-    assert spans.recover_evidence("原文写明“负责嵌入式软件开发”，所以为核心", fields) == "负责嵌入式软件开发"
-    found = spans.recover_evidence("该岗位需要嵌入式软件能力", fields)
-    assert found and any(found in f for f in fields)
-    assert spans.recover_evidence("zzzz", fields) is None
+def test_search_form_keeps_the_way_back():
+    assert spans.search_form("Ｓtraße, ﬁn!") == "strassefin"
+    assert spans.find_span("STRASSE FIN", "die Ｓtraße, ﬁn!") == "Ｓtraße, ﬁ" + "n"
+    for source in ("a-b.c  D", "（数据）分析、ＡＩ", "ßß x"):
+        for i in range(len(source)):
+            for j in range(i + 1, len(source) + 1):
+                found = spans.find_span(source[i:j].upper(), source)
+                assert (found is None) == (not spans.search_form(source[i:j])) or found in source
+                assert found is None or spans.search_form(found).startswith(spans.search_form(source[i:j])) or found == source[i:j].upper()
+
+
+FIELDS = ["软件工程师", "负责嵌入式软件开发，熟悉C语言。参与测试", "五险一金"]
+
+
+def recover(spark, said, fields=FIELDS):
+    df = spark.createDataFrame([(said, *fields)], "e string, a string, b string, c string")
+    return spans.with_recovered(df, "y", "e", "a", "b", "c").first()["y"]
+
+
+def test_evidence_is_recovered_from_prose(spark):
+    assert recover(spark, "原文写明“负责嵌入式软件开发”，所以为核心") == "负责嵌入式软件开发"
+    assert recover(spark, "原文写明“参与测试”和“负责嵌入式软件开发”") == "负责嵌入式软件开发"  # the longest
+    # a quotation in doubt gives way to the chunk with the most terms
+    assert recover(spark, "仅凭“软件工程师”还不够，嵌入式和软件开发是核心") == "负责嵌入式软件开发"
+    assert recover(spark, "该岗位需要嵌入式软件能力") == "负责嵌入式软件开发"
+    # chunks of the fields are too short: the longest common stretch
+    assert recover(spark, "zz五险,一金x", ["abc", "", "五险,一金"]) == "五险,一金"
+    assert recover(spark, "zzzz") is None and recover(spark, "") is None and recover(spark, None) is None
+    assert recover(spark, "软件开发", [None, None, None]) is None
+    long = "数据" * 200
+    assert recover(spark, f"“{long}”", ["", long, ""]) == long[: spans.LONGEST]
+
+
+def test_chunks_are_ranked_by_terms_pairs_field_and_length(spark):
+    fields = ["数据分析员", "整理数据报表，使用系统软件处理数据。其他", "数据,软件"]
+    # 20 a term: three terms in the second chunk of the description beat two and one
+    assert recover(spark, "涉及数据、系统与软件的使用", fields) == "使用系统软件处理数据"
+    # equal terms: the description is worth more than the title, tags least of all
+    assert recover(spark, "都是模型xx", ["一二模型三四", "五六模型七八", "九十模型甲乙"]) == "五六模型七八"
+    assert recover(spark, "ABCDEF ghijk", ["xabcdefx", "", ""]) == "xabcdefx"  # pairs alone, four or more
