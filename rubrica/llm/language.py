@@ -23,6 +23,8 @@ DIM_BUCKETS = 1 << 14
 #: Most documents that a model learns from: of each language, and in all (each language then gets an
 #: equal share).
 MOST_DOCS, MOST_DOCS_IN_ALL = 600, 24_000
+#: Languages whose counts are broadcast, at most; more are joined by shuffle.
+MOST_BROADCAST = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 _NOISE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -154,7 +156,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     counts = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
     languages = max(1, counts.count())
     each = max(1, min(most_docs, most_in_all // languages))
-    few = rows.select("__id", "__lang", "__h").join(counts, "__lang")
+    few = rows.select("__id", "__lang", "__h").join(F.broadcast(counts) if languages <= MOST_BROADCAST else counts, "__lang")
     few = few.where(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 40)).cast("double") * F.col("__n") <= F.lit(max(2.0 * each, each + 20.0) * (1 << 40)))
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id")))
     chosen = ranked.where(F.col("rank") <= each).select("__id", "__lang").distinct()

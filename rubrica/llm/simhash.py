@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rubrica.llm.common import cut
 from rubrica.llm.components import connected
@@ -375,11 +376,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, words:
     are made of these sets, so that repeats within a text do not matter. Then the search runs twice:
     first by fingerprints alone, which leaves few rows, and again over those with their sets.
 
-    Null and empty texts have the fingerprint 0 and link like any others. Rows that repeat an id
-    each have a row (with `least`, one of their texts speaks for all); a null id keeps its row and
-    never names a component unless all of its group are null (then component_id is null). Columns of
+    Ids are whole numbers; others are refused. Null and empty texts have the fingerprint 0 and link
+    like any others. Rows that repeat an id each have a row (with `least`, one of their texts speaks
+    for all); a null id keeps its row and never names a component unless all of its group are null (then component_id is null). Columns of
     docs other than the two named are not read. An empty table gives an empty result.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number")
     made = cut(sketches(docs, width=width, seed=seed, words=words, anchors=anchors, distinct=least is not None, id_col=id_col, text_col=text_col))
     nodes = made.groupBy("fp", "anchors").agg(F.min("__id").alias("node"))
     real = nodes.where("node is not null")

@@ -84,6 +84,13 @@ def test_simhash_equals_brute_force(name, request):
     assert sorted((str(r.doc_id), r.f, str(r.component_id)) for r in got) == want
 
 
+def test_near_duplicates_need_whole_numbers(spark, awkward):
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(awkward.select(F.col("doc_id").cast("string"), "text"))
+    assert simhash.near_duplicates(awkward.limit(0)).count() == 0
+    assert simhash.near_duplicates(awkward.select(F.col("doc_id").cast("int"), "text")).count() == 13
+
+
 def test_block_comparison_equals_popcounts():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
