@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rubrica.operators import evaluation, labeling
 from rubrica.plans import pipeline
 from rubrica.sources import schemas, sinks
-from rubrica.sources.files import read_csv
+from rubrica.sources.files import read_csv, read_yaml_document
 from rubrica.sources.store import Store
 
 ROUNDS, TRIALS = (1, 2, 3), (2, 3)
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--prompt-version", default="1.0.0")
     c.add_argument("--schema-version", default="1.0.0")
     c.add_argument("--fingerprint", default="rubric")
+    c.add_argument("--rubric", help="YAML; the fingerprint is then that of the rubric, the model and the versions")
     c.add_argument("--thinking", action="store_true")
     c.add_argument("--seed", type=int, default=20260628)
     c.add_argument("--audit", type=int, default=0, help="rows of the second reading")
@@ -73,9 +74,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("rubrica").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if args.command == "run":
-            versions = labeling.Versions(args.model, args.prompt_version, args.schema_version, args.fingerprint, args.thinking)
+            fingerprint = args.fingerprint
+            if args.rubric:
+                fingerprint = labeling.prompt_fingerprint(read_yaml_document(spark, args.rubric), stage="primary", model=args.model, versions={"prompt": args.prompt_version, "schema": args.schema_version}, thinking=args.thinking)
+            versions = labeling.Versions(args.model, args.prompt_version, args.schema_version, fingerprint, args.thinking)
             source = pipeline.Labels(args.labels, versions) if args.labels else None
-            pipeline.run(spark, args.ads, args.firms, args.rules, args.target, source=source, fingerprint=args.fingerprint, seed=args.seed, audit_size=args.audit, baselines=args.baselines)
+            pipeline.run(spark, args.ads, args.firms, args.rules, args.target, source=source, fingerprint=fingerprint, seed=args.seed, audit_size=args.audit, baselines=args.baselines)
         elif args.command == "verify":
             pipeline.verify(spark, args.target)
         elif args.command == "prepare-human-eval":

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +76,74 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(plain, scale * best_window(a, b), 0.95 * scale * best_window(_sorted_words(a), _sorted_words(b)), 0.95 * scale * _word_sets(a, b, best_window))
 
 
+def _short(x: str) -> int:
+    """The length of a name, or of its distinct words if that is less."""
+    return min(len(x), len(" ".join(set(x.split())))) if " " in x else len(x)
+
+
+def weighted_bound(common: np.ndarray, a: int, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """What weighted_ratio is at most for names without a common word: common characters (with repeats)
+    of a name of length a and names of lengths b; far: longer over shorter length."""
+    plain = 200.0 * common / np.maximum(1, a + b)
+    short = np.minimum(a, b)
+    partial = np.where(far < 8, 0.9, 0.6) * 200.0 * np.minimum(common, short) / np.maximum(1, short + np.minimum(common, short))  # stretches at an end are shorter
+    return np.where(far < 1.5, plain, np.maximum(plain, partial))
+
+
+def edit_bound(common: np.ndarray, a: int, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The same for edit_ratio: characters that are not common have to be edited."""
+    return 100.0 * common / np.maximum(1, np.maximum(a, b))
+
+
+BOUNDS = {weighted_ratio: weighted_bound, edit_ratio: edit_bound}
+
+
+class Master:
+    """A block of master rows (code, name) with their characters counted, to score names against."""
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        self.rows = rows
+        self.at = {c: i for i, c in enumerate(sorted({c for _, m in rows for c in m}))}
+        self.counts = np.zeros((len(self.at), len(rows)), np.uint16)
+        self.words: dict[str, list[int]] = {}
+        for i, (_, m) in enumerate(rows):
+            for c in m:
+                self.counts[self.at[c], i] += 1
+            for w in set(m.split()):
+                self.words.setdefault(w, []).append(i)
+        self.size, self.short = (np.array([f(m) for _, m in rows], np.int64) for f in (len, _short))
+
+    def best(self, name: str, k: int, measure: Callable[[str, str], float]) -> list[tuple[float, str]]:
+        """The k best (similarity rounded to 2, code), ties by code. Rows are scored by falling bound, and
+        no more of them once k are better than the next bound."""
+        bound = np.full(len(self.rows), 100.0)
+        if measure in BOUNDS:
+            mine: dict[int, int] = {}
+            for c in name:
+                if c in self.at:
+                    mine[self.at[c]] = mine.get(self.at[c], 0) + 1
+            common = np.zeros(len(self.rows), np.int64)
+            for at, n in mine.items():
+                common += np.minimum(self.counts[at], n)
+            far = np.maximum(self.size, len(name)) / np.maximum(1, np.minimum(self.size, len(name)))
+            bound = BOUNDS[measure](common, _short(name), self.short, far)
+            for w in set(name.split()):
+                bound[self.words.get(w, [])] = 100.0
+        found: list[tuple[float, str]] = []
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if len(found) == k and bound[i] + 0.01 < -found[-1][0]:
+                break
+            code, master = self.rows[i]
+            found = sorted([*found, (-round(measure(name, master), 2), code)])[:k]
+        return [(-s, c) for s, c in found]
+
+
 def candidates(items: DataFrame, id_col: str, names: list[str], master: DataFrame, master_name: str, code_col: str, *, k: int = 3, measure: Callable[[str, str], float] = weighted_ratio, block: int = BLOCK) -> DataFrame:
     """(id, code, similarity) of the k most alike master rows for each of an item's names, rounded to 2.
 
     Every name is scored against the whole master, whatever its size: both are dealt into blocks by
     hash, each task has one pair of blocks, and of a name's k best of each block the k best stay (ties
-    by code). Blank and null names are not asked; a null master name is an empty one, which is like
+    by code). Rows that cannot come among them, by the characters they share with a name, are passed over. Blank and null names are not asked; a null master name is an empty one, which is like
     nothing. An empty master gives an empty result.
     """
     asked = items.select(id_col, F.explode(F.array_distinct(F.array(*names))).alias("name")).where("name is not null and name <> ''")
@@ -92,11 +154,8 @@ def candidates(items: DataFrame, id_col: str, names: list[str], master: DataFram
     right = listed.select("code", "master", F.pmod(F.xxhash64("code", "master"), F.lit(wide)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(deep - 1).cast("bigint"))).alias("a"))
 
     def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows, out = list(zip(y["code"], y["master"], strict=True)), []
-        for name in x["name"]:
-            found = ((round(measure(name, m), 2), c) for c, m in rows)
-            out += [(name, c, s) for s, c in heapq.nsmallest(k, found, key=lambda v: (-v[0], v[1]))]
-        return pd.DataFrame(out, columns=["name", "code", "similarity"])
+        held = Master(list(zip(y["code"], y["master"], strict=True)))
+        return pd.DataFrame([(name, c, s) for name in x["name"] for s, c in held.best(name, k, measure)], columns=["name", "code", "similarity"])
 
     scored = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(score, "name string, code string, similarity double")
     order = F.struct((-F.col("similarity")).alias("s"), F.col("code").alias("c"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ from rubrica.operators import agreement, annual, audit, cache, checks, dedup, ev
 from rubrica.sources import files, schemas, sinks
 from rubrica.sources.settle import settled
 from rubrica.sources.store import Store
+from rubrica.sources.workbook import write_workbook
 
 PROVISIONAL = "provisional_no_api"
 #: Stages of labelling, and the status of the labels that they make.
@@ -267,18 +269,12 @@ def publish(made: Run, target: str, *, metadata: Mapping[str, object] | None = N
         blanks = checks.blank_counts(kept.ads.select("岗位标签", "待遇", "学历", "所在城市")).unionByName(checks.blank_counts(kept.matches.select("证监会行业")))
         verified = verify(spark, folder, sample=made.sample is not None)
         store.write(f"{folder}/verification.md", sinks.report("Verification", {"Result": "All checks passed.", "Checks": made.checks.unionByName(verified).orderBy("check"), "Blank optional values": blanks}).encode())
-        listed = files.list_files(spark, folder, without=r"/[._]").select(F.regexp_replace("path", f"^.*?{_quoted(folder)}/", "").alias("path"), "bytes", "sha256")
+        listed = files.list_files(spark, folder, without=r"/[._]").select(F.regexp_replace("path", f"^.*/{re.escape(folder.rstrip('/').rpartition('/')[2])}/", "").alias("path"), "bytes", "sha256")
         sinks.write_csv_file(listed.orderBy("path"), f"{folder}/file_manifest.csv")
         names = sinks.archive(spark, folder, f"{folder}/run.zip")
         checks.require(verify_archive(spark, folder, names))
 
 
-def _quoted(path: str) -> str:
-    import re
-
-    return re.escape(path.split(":", 1)[-1].rstrip("/").rsplit("/", 1)[-1])
-
-
 REQUIRED = ("matches.csv", "labels.csv", "annual.csv", "report.md", "verification.md", "file_manifest.csv", "stats.json", "run.json")
 
 
@@ -369,8 +365,6 @@ def prepare_human_evaluation(frame: DataFrame, ads: DataFrame, target: str, *, s
             wrong[split] = sampling.blind_leaks(sheet, {"canonical_id", "score", "split", "risk_points", "candidate", "rule_score"}, sum(quotas.values()))
             if wrong[split]:
                 raise ValueError(f"{split} sheet: {wrong[split]}")
-            from rubrica.sources.workbook import write_workbook
-
             sinks.write_csv_file(sheet, f"{folder}/{split}.csv")
             write_workbook(sheet, f"{folder}/{split}.xlsx", split, choices=choices, inputs=sampling.INPUTS, notes=notes)
         counts = both.groupBy("split", "score").agg(F.count(F.lit(1)).alias("n")).orderBy("split", "score")

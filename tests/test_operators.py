@@ -69,6 +69,28 @@ def test_likeness_only_proposes(spark):
     assert similarity.ratio("abcd", "abcd") == 100 and similarity.ratio("ab", "xy") == 0 and similarity.common_length("abcde", "xaced") == 3
 
 
+def test_bounds_lose_no_candidate():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde银行股份") for _ in range(rng.randrange(1, 7)))
+    name = lambda: " ".join(word() for _ in range(rng.choice([1, 1, 2, 3, 4, 9])))
+    rows = [(f"{i:03}", name()) for i in range(150)] + [("x1", ""), ("x2", "ab ab ab"), ("x3", "  a  b ")]
+    held = similarity.Master(rows)
+    for asked in [name() for _ in range(60)] + ["ba", "zzz", "a b a b", rows[5][1]]:
+        for measure in (similarity.weighted_ratio, similarity.edit_ratio):
+            want = sorted((-round(measure(asked, m), 2), c) for c, m in rows)[:3]
+            assert held.best(asked, 3, measure) == [(-s, c) for s, c in want], (asked, measure)
+
+
+def test_blocks_of_a_master_make_no_difference(spark):
+    items = spark.createDataFrame([("1", "alpha beta"), ("2", "gamma"), ("3", "alpha gamma ray")], "id string, a string")
+    master = spark.createDataFrame([(f"{i:02}", n) for i, n in enumerate(["alpha", "beta alpha", "gamma rays", "delta", None, "gam", "alphabet", "x"])], "code string, name string")
+    got = [rows(matching.top_candidates(similarity.candidates(items, "id", ["a"], master, "name", "code", block=b), "id")) for b in (2, 4096)]
+    assert got[0] == got[1] and len(got[0]) == 9
+    assert similarity.candidates(items, "id", ["a"], master.limit(0), "name", "code").count() == 0
+
+
 def test_yearly_shares(spark):
     df = spark.createDataFrame([(2024, 0), (2024, 2), (2025, 1), (2025, 3), (2025, None)], "year int, score int")
     got = {r.year: r for r in annual.summary(df).collect()}
@@ -170,6 +192,15 @@ def test_labels_are_repaired():
     assert len(labeling.validate(payload(label(evidence=["软件开发"] * 7)), SOURCE)[0]["evidence"]) == 5
 
 
+def test_fingerprints_hold_all_that_shapes_an_answer():
+    base = {"rubric": {"a": 1, "b": [2, {"c": "软件"}]}, "stage": "primary", "model": "m", "versions": {"p": "1", "s": "2"}, "thinking": False}
+    make = lambda **k: labeling.prompt_fingerprint(**{**base, **k})
+    assert len(make()) == 64 and make() == make(rubric={"b": [2, {"c": "软件"}], "a": 1})  # the order of keys says nothing
+    others = [make(rubric={"a": 2}), make(stage="audit"), make(model="n"), make(versions={"p": "1", "s": "3"}), make(thinking=True)]
+    assert len({make(), *others}) == 6
+    assert labeling.request_id("fp", ["1", "2"]) != labeling.request_id("fp", ["1"]) != labeling.request_id("fq", ["1"])
+
+
 def test_retries_split_and_give_up():
     asked, waits = [], []
 

@@ -103,8 +103,9 @@ def test_a_run_with_a_labeller_fills_the_log_and_repeats_offline(spark, inputs,
     assert made.reliability.first()["n"] == 3
     records = spark.read.json(f"{logs}/primary.jsonl").count()
     assert records == 3
-    # the same again without a labeller, from the log alone
-    assert cli.main(["run", *inputs, target, "--labels", logs, "--model", "m", "--prompt-version", "2.0.0", "--schema-version", "2", "--fingerprint", "fp", "--audit", "3"]) == 0
+    # the same labels without a labeller, from the log alone
+    items = made.ads.select("canonical_id", pipeline.ad_text().alias("text"))
+    assert {r.canonical_id: r.score for r in pipeline.Labels(logs, VERSIONS).of(items, "primary").collect()} == {"2": 2, "3": 2, "4": 0}
     assert spark.read.json(f"{logs}/primary.jsonl").count() == records
     online.compact(spark, "primary")
     assert [r.canonical_id for r in spark.read.json(f"{logs}/primary.jsonl").collect()] == ["2", "3", "4"]
@@ -127,23 +128,20 @@ BROKEN = [{"model": "other"}, {"prompt_version": "1"}, {"schema_version": "1"},
 
 
 def test_only_the_last_valid_record_of_an_id_counts(spark, tmp_path):
-    texts = spark.createDataFrame([("1", "岗位：x\n描述：软件开发"), ("2", "岗位：y\n描述：软件开发")], "canonical_id string, text string")
-    _, asked = pipeline.cached_labels(texts, None, VERSIONS, "primary")
-    digest = {r.canonical_id: r.content_hash for r in asked.collect()}
-
-    def probe(*records):
-        (tmp_path / "log.jsonl").write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in records) + "broken\n", encoding="utf-8")
-        labels, misses = pipeline.cached_labels(texts, files.read_log(spark, str(tmp_path / "log.jsonl"), schemas.LABEL_CACHE), VERSIONS, "primary")
-        return sorted((r.canonical_id, r.score) for r in labels.collect()), sorted(r.canonical_id for r in misses.collect())
-
-    one, two = record("1", digest["1"]), record("2", digest["2"])
+    ids = ["1", "2", "3", "4", "5", *[f"b{i}" for i in range(len(BROKEN))]]
+    texts = spark.createDataFrame([(i, "岗位：x\n描述：软件开发") for i in ids], "canonical_id string, text string")
+    digest = pipeline.cached_labels(texts, None, VERSIONS, "primary")[1].first()["content_hash"]
     zero = {"technology_role": "none", "score": 0, "model_score": 0, "evidence": ""}
-    assert probe(one, two) == ([("1", 2), ("2", 2)], [])
-    assert probe(two, one, two | zero, two) == ([("1", 2), ("2", 2)], [])  # three records of one ad are one label
-    assert probe(one, two, two | zero) == ([("1", 2), ("2", 0)], [])  # the last one wins
-    assert probe(one, two, two | {"confidence": "bogus"}) == ([("1", 2)], ["2"])  # also where it is broken
-    for k in BROKEN:
-        assert probe(one | k, two) == ([("2", 2)], ["1"]), k
+    bogus = {"confidence": "bogus"}
+    records = [
+        record("1", digest), record("1", digest), record("1", digest),  # three records of one ad are one label
+        record("2", digest), record("2", digest, **zero),  # the last one wins
+        record("3", digest, **zero), record("3", digest), record("4", digest), record("4", digest, **bogus),  # also where it is broken
+        *[record(f"b{i}", digest, **k) for i, k in enumerate(BROKEN)]]
+    (tmp_path / "log.jsonl").write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in records) + "broken\n", encoding="utf-8")
+    labels, misses = pipeline.cached_labels(texts, files.read_log(spark, str(tmp_path / "log.jsonl"), schemas.LABEL_CACHE), VERSIONS, "primary")
+    assert sorted((r.canonical_id, r.score, r.confidence) for r in labels.collect()) == [("1", 2, "medium"), ("2", 0, "high"), ("3", 2, "medium")]
+    assert sorted(r.canonical_id for r in misses.collect()) == sorted(set(ids) - {"1", "2", "3"})
 
 
 def test_repeated_labels_cannot_be_published(spark, inputs, tmp_path):
@@ -164,7 +162,7 @@ def test_archives_hold_no_secrets(spark, tmp_path):
     (tmp_path / "report.md").write_text("key sk-" + "a" * 24)
     with pytest.raises(checks.QualityError, match="secret_like: 1"):
         checks.require(pipeline.verify_archive(spark, str(tmp_path), names))
-    with pytest.raises(checks.QualityError, match="file_labels.csv: 1; private_files: 1"):
+    with pytest.raises(checks.QualityError, match="file_labels.csv: 1; file_report.md: 1; private_files: 1"):
         checks.require(pipeline.verify_archive(spark, str(tmp_path), [n for n in names if n not in ("labels.csv", "report.md")] + ["private/a"]))
 
 
