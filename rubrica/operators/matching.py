@@ -21,6 +21,12 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, cached in a partition a core. Adaptive execution leaves the partitions of a cached plan as they
+    are, and each would write a file for each partition of the next shuffle, however few rows it has."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism).persist()
+
+
 def master_collisions(master: DataFrame, key: Column, code_col: str) -> DataFrame:
     """(name_key, n, codes) of normalised names that stand for more than one code; empty keys don't count."""
     keyed = master.select(key.alias("name_key"), F.col(code_col).alias("code")).where("name_key <> ''")
@@ -69,15 +75,18 @@ def match(items: DataFrame, id_col: str, raw_names: Sequence[str], master: DataF
     with attributes also match_note and these columns of the master, blank for what is not matched.
 
     strict: collisions in the master, items whose rules disagree and rules of unknown codes raise an
-    error instead of a guess. The hits of the rules are computed once, for the checks and the result.
+    error instead of a guess. Exact matches and the hits of the rules are then computed once, for the
+    checks and the result.
     """
-    if strict and (bad := master_collisions(master, key(F.col(master_name)), code_col).limit(5).collect()):
+    if strict and (bad := master_collisions(master, key(F.col(master_name)), code_col).select("name_key").limit(5).collect()):
         raise ValueError(f"normalised master names collide: {[r['name_key'] for r in bad]}")
     exact = exact_tier(items, id_col, [key(F.col(n)) for n in raw_names], master, key(F.col(master_name)), code_col)
+    if strict:
+        exact = kept(exact)
     rest = items.join(exact, id_col, "left_anti")
     hits = rule_hits(rest, id_col, raw_names, rules)
     if strict:
-        hits = hits.persist()
+        hits = kept(hits)
         if bad := rule_conflicts(hits, id_col).limit(5).collect():
             raise ValueError(f"rules disagree: {[(r[0], r['codes']) for r in bad]}")
         if bad := hits.select("code").distinct().join(master.select(F.col(code_col).alias("code")), "code", "left_anti").limit(5).collect():

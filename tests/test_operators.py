@@ -126,6 +126,31 @@ def test_blocks_of_a_master_make_no_difference(spark):
     assert similarity.candidates(items, "id", ["a"], master.limit(0), "name", "code").count() == 0
 
 
+def test_each_pair_of_blocks_is_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    """Blocks are few bytes that take long; adaptive execution must not join their partitions."""
+    monkeypatch.setattr(similarity, "LEAST", 8)
+    seen = str(tmp_path)
+
+    def measure(a, b):
+        import os
+
+        from pyspark import TaskContext
+
+        os.makedirs(f"{seen}/{TaskContext.get().partitionId()}", exist_ok=True)
+        return similarity.ratio(a, b)
+
+    items = spark.range(200).selectExpr("id", "concat('a', id) as a")
+    master = spark.range(60).selectExpr("cast(id as string) as code", "concat('b', id) as name")
+    got = similarity.candidates(items, "id", ["a"], master, "name", "code", measure=measure, block=30).collect()
+    assert len(got) == 600 and len(list(tmp_path.iterdir())) == 2 * 25  # blocks of the master, blocks of names
+
+
+def test_cached_tables_have_a_partition_a_core(spark):
+    made = matching.kept(spark.range(1000).repartition(64))
+    assert made.count() == 1000 and made.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    made.unpersist()
+
+
 def test_yearly_shares(spark):
     df = spark.createDataFrame([(2024, 0), (2024, 2), (2025, 1), (2025, 3), (2025, None)], "year int, score int")
     got = {r.year: r for r in annual.summary(df).collect()}
